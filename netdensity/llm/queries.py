@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netdensity.llm import bpe, chat, mixing, quality, token_files
+from netdensity.llm import bpe, chat, lines, mixing, quality, simhash, token_files
 from netdensity.session import table
 
 
@@ -20,6 +20,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")
     return bpe.roundtrip(docs, path, bpe.build(docs, path))
@@ -32,6 +36,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(turns.unionByName(extra)))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.fresh_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path, end_id=2)
@@ -93,7 +102,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m LEFT JOIN cov USING (r) LEFT JOIN lost USING (r)
 """.replace("__PHRASES__", "|".join(quality.PHRASES))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe_roundtrip, op4_chat_format, op6_token_files, op7_mixing, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe_roundtrip, op4_chat_format, op5_line_dedup, op6_token_files, op7_mixing, op9_quality)}
 ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL}
 
 
