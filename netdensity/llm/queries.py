@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netdensity.llm import bpe, chat, lines, mixing, quality, simhash, token_files
+from netdensity.llm import bpe, chat, lattice, lines, mixing, quality, simhash, token_files
 from netdensity.session import table
 
 
@@ -52,6 +52,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return q.select("doc_id", *[F.col(f"__q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -102,7 +106,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m LEFT JOIN cov USING (r) LEFT JOIN lost USING (r)
 """.replace("__PHRASES__", "|".join(quality.PHRASES))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe_roundtrip, op4_chat_format, op5_line_dedup, op6_token_files, op7_mixing, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe_roundtrip, op4_chat_format, op5_line_dedup, op6_token_files, op7_mixing, op8_lattice, op9_quality)}
 ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL}
 
 
