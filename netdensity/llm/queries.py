@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netdensity.llm import bpe, chat, lattice, lines, mixing, pii, quality, simhash, token_files
+from netdensity.llm import bpe, chat, lattice, lines, mixing, pii, quality, simhash, suffix, token_files
 from netdensity.session import table
 
 
@@ -24,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")
     return bpe.roundtrip(docs, path, bpe.build(docs, path))
@@ -110,7 +114,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m LEFT JOIN cov USING (r) LEFT JOIN lost USING (r)
 """.replace("__PHRASES__", "|".join(quality.PHRASES))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_bpe_roundtrip, op4_chat_format, op5_line_dedup, op6_token_files, op7_mixing, op8_lattice, op9_quality, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_bpe_roundtrip, op4_chat_format, op5_line_dedup, op6_token_files, op7_mixing, op8_lattice, op9_quality, op10_pii)}
 ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL}
 
 
