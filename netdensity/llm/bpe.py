@@ -309,20 +309,28 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def roundtrip(docs: DataFrame, path: str, blob: bytes, doc_id="doc_id", text="text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids, one document at a time, so no ids are moved."""
+def roundtrip(docs: DataFrame, path: str, blob: bytes, doc_id="doc_id", text="text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for: encode, then decode the ids, a document at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, shared.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            n, a, z = [], [], []
+            n, a, z, all_ids = [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t)
                 n.append(len(ids))
                 a.append(sha(" ".join(map(c.number.__getitem__, ids))))
                 z.append(sha(c.decode(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(np.array(ids, np.int32))
+            out = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                out.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, schema)
