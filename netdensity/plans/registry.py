@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from netdensity.plans import graph_queries, scalar_queries
+
+MODULES = (scalar_queries, graph_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
