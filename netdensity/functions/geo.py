@@ -114,8 +114,8 @@ def kernel(spec: dict):
 
 
 def display(score: Column) -> Column:
-    """A score on the fixed scale from 0 to 1, by log1p up to 30."""
-    return F.least(F.greatest(F.log1p(score) / math.log1p(30), F.lit(0.0)), F.lit(1.0))
+    """A score on the fixed scale from 0 to 1, by log1p up to 30; null without a score (least and greatest pass over nulls)."""
+    return F.when(score.isNull() | F.isnan(score), None).otherwise(F.least(F.greatest(F.log1p(score) / math.log1p(30), F.lit(0.0)), F.lit(1.0)))
 
 
 def colour(v: Column) -> list[Column]:

@@ -230,7 +230,7 @@ def tile_hilbert(spark, d):
     return fx.tile_key(spark, d).select("z", "x", "y", tiles.hilbert_id(z, x, y).alias("id"))
 
 
-@BOOK.add(fx.sql("WITH v AS (SELECT row, col, region, least(greatest(ln(1 + score) / ln(31.0::DOUBLE), 0.0), 1.0) AS v FROM raster), m AS (SELECT row, col, max(CASE WHEN region = 0 THEN v END) AS a0, max(CASE WHEN region = 1 THEN v END) AS b0 FROM v GROUP BY 1, 2), t AS (SELECT row, col, coalesce(a0, b0) AS v, CAST(least(floor(coalesce(a0, b0) * 6), 5) AS INTEGER) AS lo FROM m) SELECT row, col, " + COLOUR_SQL + " FROM t", "raster"))
+@BOOK.add(fx.sql("WITH v AS (SELECT row, col, region, CASE WHEN score IS NOT NULL THEN least(greatest(ln(1 + score) / ln(31.0::DOUBLE), 0.0), 1.0) END AS v FROM raster), m AS (SELECT row, col, max(CASE WHEN region = 0 THEN v END) AS a0, max(CASE WHEN region = 1 THEN v END) AS b0 FROM v GROUP BY 1, 2), t AS (SELECT row, col, coalesce(a0, b0) AS v, CAST(least(floor(coalesce(a0, b0) * 6), 5) AS INTEGER) AS lo FROM m) SELECT row, col, " + COLOUR_SQL + " FROM t", "raster"))
 def tile_composite(spark, d):
     """Pixel by pixel the first region that is not transparent, never blended."""
     r = fx.raster(spark, d).withColumn("v", geo.display(F.col("score")))

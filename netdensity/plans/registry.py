@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netdensity.plans import graph_queries, raster_queries, scalar_queries, table_queries
+from netdensity.plans import graph_queries, io_queries, raster_queries, scalar_queries, table_queries
 
-MODULES = (scalar_queries, graph_queries, raster_queries, table_queries)
+MODULES = (scalar_queries, graph_queries, raster_queries, table_queries, io_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
