@@ -26,8 +26,9 @@ def test_rules():
     rules = {"allow": {"shop": ["*"], "amenity": ["cafe", "bar"]}, "deny": {}}
     assert config.selectors(rules) == ['["shop"]', '["amenity"~"^(cafe|bar)$"]']
     config.check_categories({"acquisition_poi_allow_sha256": config.rules_hash(rules)}, rules)
-    config.check_categories({"query": 'node["shop"];node["amenity"~"^(cafe|bar)$"];'}, rules)
-    for bad in ({"acquisition_poi_allow_sha256": "0"}, {"query": 'node["shop"]'}, {}):
+    query = "".join(f'{kind}{s}(1,2,3,4);' for s in config.selectors(rules) for kind in ("node", "way", "relation"))
+    config.check_categories({"query": query}, rules)
+    for bad in ({"acquisition_poi_allow_sha256": "0"}, {"query": query.replace("way", "wax")}, {}):
         with pytest.raises(ValueError):
             config.check_categories(bad, rules)
 
