@@ -114,8 +114,27 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM m LEFT JOIN cov USING (r) LEFT JOIN lost USING (r)
 """.replace("__PHRASES__", "|".join(quality.PHRASES))
 
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<[\\]*[|]')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+LATTICE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, c.id = c.root AS kept FROM c LEFT JOIN n ON n.a = c.id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_suffix_array, op3_bpe_roundtrip, op4_chat_format, op5_line_dedup, op6_token_files, op7_mixing, op8_lattice, op9_quality, op10_pii)}
-ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL, "op8_lattice": LATTICE_SQL, "op7_mixing": MIX_SQL, "op9_quality": QUALITY_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
