@@ -50,15 +50,16 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, width: float) -> Data
         width *= 4
 
 
-def crossings(points: DataFrame, rings: DataFrame, by: list[str], slack: float = 1e-12) -> DataFrame:
+def crossings(points: DataFrame, rings: DataFrame, by: list[str], slack: float = 1e-12, band: float = 250.0) -> DataFrame:
     """For points (pid, x, y) and ring edges (.., x1, y1, x2, y2): per point and ``by``, the parity of edges to the right, and whether the point is on an edge.
 
-    Rings are few edges; the caller states what they are grouped by."""
+    Both sides meet in bands of ``band`` metres of y, which an edge is in as often as it crosses them, so the join is one of equality."""
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
     cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
     on = (F.abs(cross) <= slack) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
     hit = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    joined = points.join(rings, (y >= F.least(y1, y2)) & (y <= F.greatest(y1, y2)))
+    banded = rings.withColumn("__band", F.explode(F.sequence(cell(F.least(y1, y2), band), cell(F.greatest(y1, y2), band))))
+    joined = points.withColumn("__band", cell(y, band)).join(banded, "__band").where((y >= F.least(y1, y2)) & (y <= F.greatest(y1, y2)))
     return joined.groupBy("pid", *by).agg((F.count_if(hit) % 2 == 1).alias("inside"), F.bool_or(on).alias("edge"))
 
 
@@ -97,10 +98,31 @@ def ring_area(rings: DataFrame) -> DataFrame:
     return each.groupBy("poly").agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
 
 
-def ring_distance(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """(pid, d): distance to the nearest polygon, 0 inside. One pass over the few ring edges for each point."""
+def pieces(rings: DataFrame, width: float) -> DataFrame:
+    """Ring edges once for every piece of ``width`` at the longest, with the piece's middle as rx, ry."""
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
+    cut = rings.withColumn("__n", F.greatest(F.lit(1), F.ceil(length / width)).cast("int")).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    middle = lambda c: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (F.col("__i") + 0.5) / F.col("__n")
+    return cut.withColumn("rx", middle("x")).withColumn("ry", middle("y")).drop("__n", "__i")
+
+
+def outline_within(points: DataFrame, rings: DataFrame, reach: float, width: float = 200.0) -> DataFrame:
+    """(pid, d): distance to the nearest ring edge, of the points that have one within ``reach``."""
     d, _ = edge_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
-    inside = covered(points, rings).select("pid").distinct().withColumn("in", F.lit(True))
-    edges = rings.agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("es"))
-    best = points.join(F.broadcast(edges)).withColumn("d", F.array_min(F.transform("es", lambda e: edge_distance(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"])[0])))
-    return best.join(inside, "pid", "left").select("pid", F.when(F.col("in"), 0.0).otherwise(F.col("d")).alias("d"))
+    near = within(points.select("pid", "x", "y"), pieces(rings.select("x1", "y1", "x2", "y2"), width), reach + width / 2).drop("d")
+    return near.groupBy("pid").agg(F.min(d).alias("d")).where(F.col("d") <= reach)
+
+
+def ring_distance(points: DataFrame, rings: DataFrame, reach: float = 400.0) -> DataFrame:
+    """(pid, d): distance to the nearest polygon, 0 inside; by rings of cells that widen until every point has found its edge."""
+    inside = covered(points, rings).select("pid").distinct()
+    left = materialize(points.select("pid", "x", "y").join(inside, "pid", "left_anti"))
+    done = inside.select("pid", F.lit(0.0).alias("d"))
+    if not rings.take(1):
+        return done
+    while left.take(1):
+        found = materialize(outline_within(left, rings, reach))
+        done = done.union(found)
+        left = materialize(left.join(found, "pid", "left_anti"))
+        reach *= 4
+    return done

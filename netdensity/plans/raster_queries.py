@@ -428,7 +428,8 @@ def flt_job_cover(spark, d):
     per = spatial.crossings(corners.select("pid", "x", "y"), fx.ring(spark), ["poly", "ring"])
     inside = per.groupBy("pid", "poly").agg(F.bool_or((F.col("ring") == 0) & F.col("inside")).alias("i"), F.bool_or((F.col("ring") > 0) & F.col("inside")).alias("h")).where("i and not h")
     hit = corners.join(inside, "pid", "left_semi").select("job")
-    sides = b.join(fx.ring(spark), (F.greatest("x1", "x2") >= F.col("w")) & (F.least("x1", "x2") <= F.col("w") + 500) & (F.greatest("y1", "y2") >= F.col("s")) & (F.least("y1", "y2") <= F.col("s") + 500)).select((F.col("cx") * 100 + F.col("cy")).alias("job"))
+    met = lambda p, q: F.explode(F.sequence(F.ceil(F.least(p, q) / 500).cast("long") - 1, F.floor(F.greatest(p, q) / 500)))
+    sides = fx.ring(spark).select(met("x1", "x2").alias("cx"), "y1", "y2").select("cx", met("y1", "y2").alias("cy")).select((F.col("cx") * 100 + F.col("cy")).alias("job"))
     jobs = hit.union(sides).distinct()
     return b.join(jobs, (F.col("cx") * 100 + F.col("cy")) == F.col("job"), "left_semi").select("cx", "cy")
 
@@ -436,12 +437,10 @@ def flt_job_cover(spark, d):
 @BOOK.add(fx.sql(f"WITH {_PT}, {_DIST} SELECT pid FROM dist WHERE d <= 50", "poi", "ring"))
 def flt_support(spark, d):
     """Points near the outline."""
-    x = fx.ring(spark).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("es"))
-    near = F.exists("es", lambda e: spatial.edge_distance(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"])[0] <= 50)
-    return points(spark, d).join(F.broadcast(x)).where(near).select("pid")
+    return spatial.outline_within(points(spark, d), fx.ring(spark), 50.0).select("pid")
 
 
-@BOOK.add(fx.sql("SELECT DISTINCT u, v FROM edge JOIN node a ON a.id = u JOIN node b ON b.id = v JOIN ring r ON u < v WHERE ((r.x2 - r.x1) * (a.y - r.y1) - (r.y2 - r.y1) * (a.x - r.x1)) * ((r.x2 - r.x1) * (b.y - r.y1) - (r.y2 - r.y1) * (b.x - r.x1)) <= 0 AND ((b.x - a.x) * (r.y1 - a.y) - (b.y - a.y) * (r.x1 - a.x)) * ((b.x - a.x) * (r.y2 - a.y) - (b.y - a.y) * (r.x2 - a.x)) <= 0", "edge", "ring"))
+@BOOK.add(fx.sql("SELECT DISTINCT u, v FROM edge JOIN node a ON a.id = u JOIN node b ON b.id = v JOIN ring r ON u < v AND greatest(a.x, b.x) >= least(r.x1, r.x2) AND least(a.x, b.x) <= greatest(r.x1, r.x2) AND greatest(a.y, b.y) >= least(r.y1, r.y2) AND least(a.y, b.y) <= greatest(r.y1, r.y2) WHERE ((r.x2 - r.x1) * (a.y - r.y1) - (r.y2 - r.y1) * (a.x - r.x1)) * ((r.x2 - r.x1) * (b.y - r.y1) - (r.y2 - r.y1) * (b.x - r.x1)) <= 0 AND ((b.x - a.x) * (r.y1 - a.y) - (b.y - a.y) * (r.x1 - a.x)) * ((b.x - a.x) * (r.y2 - a.y) - (b.y - a.y) * (r.x2 - a.x)) <= 0", "edge", "ring"))
 def join_seg_poly(spark, d):
     """Graph edges that cross or touch the outline."""
     from netdensity.plans.graph_queries import edge_lines
@@ -450,7 +449,13 @@ def join_seg_poly(spark, d):
     side = lambda px, py, qx, qy, x, y: (F.col(qx) - F.col(px)) * (F.col(y) - F.col(py)) - (F.col(qy) - F.col(py)) * (F.col(x) - F.col(px))
     apart = side("x1", "y1", "x2", "y2", "ax", "ay") * side("x1", "y1", "x2", "y2", "bx", "by") <= 0
     across = side("ax", "ay", "bx", "by", "x1", "y1") * side("ax", "ay", "bx", "by", "x2", "y2") <= 0
-    return e.join(r, apart & across).select("u", "v").distinct()
+    # Lines that are only prolongations of each other do not meet.
+    for c in ("x", "y"):
+        across = across & (F.greatest(f"a{c}", f"b{c}") >= F.least(f"{c}1", f"{c}2")) & (F.least(f"a{c}", f"b{c}") <= F.greatest(f"{c}1", f"{c}2"))
+    middle = e.withColumn("x", (F.col("ax") + F.col("bx")) / 2).withColumn("y", (F.col("ay") + F.col("by")) / 2)
+    # Edges are 50 m and pieces too, so where they cross their middles are within 50 m.
+    near = spatial.within(middle, spatial.pieces(r, 50.0), 51.0)
+    return near.where(apart & across).select("u", "v").distinct()
 
 
 _POINT = f"WITH pt AS (SELECT k AS pid, x, y FROM poi), {CROSS}, v AS (SELECT p.pid, bool_or(true) AS z, max(r0.score) AS s0, max(r1.score) AS s1 FROM pt p LEFT JOIN raster r0 ON r0.region = 0 AND r0.row = CAST(floor(p.y / 25) AS BIGINT) AND r0.col = CAST(floor(p.x / 25) AS BIGINT) LEFT JOIN raster r1 ON r1.region = 1 AND r1.row = CAST(floor(p.y / 25) AS BIGINT) AND r1.col = CAST(floor(p.x / 25) AS BIGINT) GROUP BY p.pid)"
