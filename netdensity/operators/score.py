@@ -8,10 +8,10 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from netdensity.functions import geo
 from netdensity.operators import spatial, sssp
+from netdensity.operators.order import running
 
 SCORED = "qid long, score double"
 
@@ -94,12 +94,6 @@ def chunked(nodes: DataFrame, edges: DataFrame, queries: DataFrame, pois: DataFr
 # ---- scales for display
 
 
-def min_max(v: Column, part: Window | None = None) -> Column:
-    w = part or Window.partitionBy()
-    low, high = F.min(v).over(w), F.max(v).over(w)
-    return F.when(high > low, (v - low) / (high - low)).otherwise(v)
-
-
 def with_bounds(df: DataFrame, v: Column) -> DataFrame:
     """``df`` with __low and __high of ``v``: one aggregate, joined back as a single row."""
     return df.crossJoin(F.broadcast(df.agg(F.min(v).alias("__low"), F.max(v).alias("__high"))))
@@ -109,7 +103,7 @@ def normalised(df: DataFrame, score: str, how: str = "log1p") -> DataFrame:
     """``df`` with ``norm``: log1p or average rank, then scaled to 0..1; equal scores stay as they are."""
     if how == "quantile":
         counts = df.groupBy(score).agg(F.count("*").alias("__n"))
-        ranked = counts.withColumn("__upto", F.sum("__n").over(Window.orderBy(score)))
+        ranked = running(counts, score, "__n", "__upto")
         total = counts.agg(F.sum("__n").alias("__total"))
         ranks = ranked.crossJoin(F.broadcast(total)).select(F.col(score).alias("__s"), ((F.col("__upto") - F.col("__n") + 1 + F.col("__upto")) / 2 / F.col("__total")).alias("__v"))
         df = df.join(ranks, F.col(score).eqNullSafe(F.col("__s"))).drop("__s")

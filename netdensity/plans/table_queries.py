@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netdensity.operators import score
+from netdensity.operators.order import running
 from netdensity.plans import fixtures as fx
 from netdensity.plans.book import Book
 from netdensity.session import table
@@ -140,8 +141,7 @@ def topk_nearest(spark, d):
 def samp_even(spark, d):
     """Eight rows evenly spaced in order."""
     j = fx.job(spark, d).select("job")
-    # Numbering is by ranges: a running count of sorted groups, each far smaller than the table.
-    r = j.withColumn("r", F.row_number().over(Window.orderBy("job")) - 1)
+    r = running(j.withColumn("one", F.lit(1)), "job", "one", "upto").withColumn("r", F.col("upto") - 1)
     n = j.agg(F.count("*").alias("n")).select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.floor(i * (F.col("n") - 1) / 7.0)))).alias("at"))
     return r.join(n, r.r == n["at"], "left_semi").select("job")
 
