@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netdensity.session import materialize
+
 LEXICON_WORDS = 50_000
 #: Chunks between white space whose ids a worker remembers before it starts anew.
 REMEMBERED = 150_000
@@ -255,7 +257,7 @@ def codec(path: str, blob: bytes | None) -> Codec:
 
 
 def frequent(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text: str = "text") -> list[str]:
-    """The most frequent words of all documents; ties by the word."""
+    """The most frequent words of all documents, ``most`` at the most: of words with equal counts all or none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules, chunks = Rules(path), Counter()
@@ -276,8 +278,14 @@ def frequent(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text: str =
         yield words()
 
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(count, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).where("word <> '' and length(word) <= 64").orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in top.select("word").collect()]
+    counts = materialize(rows.groupBy("word").agg(F.sum("n").alias("n")).where("word <> '' and length(word) <= 64"))
+    # The least count down to which all words fit the bound; so no more than the bound's rows are ever sent.
+    room, least = most, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        if r["words"] > room:
+            break
+        room, least = room - r["words"], r["n"]
+    return sorted(r["word"] for r in counts.where(F.col("n") >= least).select("word").collect()) if least is not None else []
 
 
 def build(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text: str = "text") -> bytes:

@@ -139,7 +139,8 @@ def test_bpe_equals_the_library(spark):
     tok = tokenizers.Tokenizer.from_file(path)
     rows = [*ODD, (20, "Don't we've <|startoftext|>Ünïcödé 漢字 ΣΑΣ İx 12345 $$$ \x1c!\x1c ä ﬁ"), (21, "z" * 300 + " " + "qx" * 400)]
     df = docs(spark, rows)
-    blob = bpe.build(df, path, most=7)
+    blob = bpe.build(df, path, most=2)
+    assert bpe.frequent(df, path, most=2) == ["word"]
     ids = {(r.doc_id, r.ids and tuple(r.ids) or ()) for r in bpe.encode(df, path, blob).collect()}
     assert ids == {(d, tuple(tok.encode(t or "", add_special_tokens=False).ids)) for d, t in rows}
     back = {(r.doc_id, r.text) for r in bpe.decode(bpe.encode(df, path, blob), path).collect()}
