@@ -125,13 +125,13 @@ def deletions(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MI
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], ["d", "th", "pos", "next", "h", "tail"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("d is not null")
-    lines = materialize(source.mapInArrow(run, LINES))
-    holders = lines.groupBy("h").agg(F.min("d").alias("o"), F.max("d").alias("z")).where("o < z").select("h", "o")
-    shared = lines.join(holders, "h")
-    # The owner's side: where it holds the line, and the short lines after it there.
-    owned = shared.where("d = o").groupBy("h").agg(F.sort_array(F.collect_set(F.struct("pos", "tail"))).alias("at"))
-    later = shared.where("d > o").groupBy("d", "th", "o", "h").agg(F.collect_set(F.struct("pos", "next", "tail")).alias("mine"))
-    pairs = later.join(owned, "h").groupBy("d", "th", "o").agg(F.collect_list(F.struct("h", "mine", "at")).alias("own"))
+    # One row for each line of a document, then the earliest holder of each line with its places: a hot line is summed
+    # up in each task before the shuffle, and the join that follows can be split.
+    held = source.mapInArrow(run, LINES).groupBy("h", "d", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "next", "tail"))).alias("mine"))
+    held = materialize(held)
+    first = held.groupBy("h").agg(F.min(F.struct("d", F.transform("mine", lambda m: F.struct(m["pos"].alias("pos"), m["tail"].alias("tail"))).alias("at"))).alias("m"), F.max("d").alias("z"))
+    holders = materialize(first.where("m.d < z").select("h", F.col("m.d").alias("o"), F.col("m.at").alias("at")))
+    pairs = held.join(holders, "h").where("d > o").groupBy("d", "th", "o").agg(F.collect_list(F.struct("h", "mine", "at")).alias("own"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
