@@ -84,7 +84,7 @@ def fn_projected_bounds(spark, d):
 
 @BOOK.add()
 def fn_acq_bounds(spark, d):
-    boxes = fx.place(spark, d).where("id % 50 = 0").select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 0.05).alias("east"), (F.col("lat") + 0.03).alias("north"))
+    boxes = fx.place(spark, d).select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 0.05).alias("east"), (F.col("lat") + 0.03).alias("north"))
     return graph.acquisition_bounds(boxes, "id").select("id", *[_round(F.col(c), 9).alias(c) for c in ("west", "south", "east", "north")])
 
 
