@@ -2,11 +2,12 @@
 
 A line counts as evidence if it has five words or more. Its hash leads to the documents that hold
 it; the earliest holder (least doc_id) is the partner of all later ones. A line held by many
-documents thus gives one pair for each, never all pairs, and no line is too frequent to count.
+documents thus gives one pair for each, never all pairs, and no line is too frequent to count. Lines that this leaves over
+meet their other earlier holders, as many as it takes to match each place with one, until none is left or no holder is.
 What a pair has in common is aligned by patience diff: lines that either side holds once are matched,
 a longest increasing run of them is kept, gaps are aligned in turn, and lines that repeat are matched
 by occurrence where no single ones are left. The aligned lines are deleted from the later
-document, along with the short lines that follow them where those agree as well.
+document, along with the short lines just before and after them that align as well.
 
 Rows carry line hashes, never texts; a pair's rows together are no more than the later document's lines.
 
@@ -23,37 +24,48 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netdensity.llm.common import let
 from netdensity.session import materialize
 
 MIN_WORDS = 5
-LINES = "d long, th long, pos int, next int, h long, tail long"
+RUNS = "pre_at array<int>, pre array<long>, post_at array<int>, post array<long>"
+LINES = f"d long, th long, pos int, start int, next int, h long, {RUNS}"
+
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def split_lines(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(line, line after its short followers, hash, hash of the followers) of each line of evidence."""
-    out, followers = [], []
+def split_lines(text: str, min_words: int) -> list[tuple]:
+    """(line, line after the previous line of evidence, line of the next one, hash, then the places and hashes of the short lines before and after) of each line of evidence."""
+    out: list[list] = []
+    short: tuple[list[int], list[int]] = ([], [])
+    start = 0
     rows = text.encode().split(b"\n")
     for pos, row in enumerate(rows):
         words = row.split()
         if len(words) >= min_words:
-            if out:
-                out[-1][3] = signed(xxhash.xxh64_intdigest(b"\n".join(followers), 42))
-                out[-1][1] = pos
-            out.append([pos, pos + 1, signed(xxhash.xxh64_intdigest(row.strip(b" \t\n\x0b\x0c\r"), 42)), 0])
-            followers = []
+            out.append([pos, start, len(rows), signed(xxhash.xxh64_intdigest(row.strip(b" \t\n\x0b\x0c\r"), 42)), *short, [], []])
+            if len(out) > 1:
+                out[-2][2], out[-2][6:] = pos, short
+            short, start = ([], []), pos + 1
         elif words:
-            followers.append(b" ".join(words))
+            short[0].append(pos)
+            short[1].append(signed(xxhash.xxh64_intdigest(b" ".join(words), 42)))
     if out:
-        out[-1][1:] = [len(rows), out[-1][2], signed(xxhash.xxh64_intdigest(b"\n".join(followers), 42))]
-    return out
+        out[-1][6:] = short
+    return [tuple(x) for x in out]
+
+
+def shared_run(mine: list[int], at: list[int], theirs: list[int], a: int, z: int) -> list[tuple[int, int]]:
+    """Ranges of the lines a to z that go with an aligned line: all of them where the short lines agree, else the aligned ones."""
+    if mine == theirs:
+        return [(a, z)] if a < z else []
+    return [(at[i], at[i] + 1) for i, _ in patience(mine, theirs)] if mine and theirs else []
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,32 +133,88 @@ def deletions(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MI
             for d, th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows += [(d, th, *x) for x in split_lines(t, min_words)]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], ["d", "th", "pos", "next", "h", "tail"])
+                runs = [pa.list_(pa.int32()), pa.list_(pa.int64())] * 2
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), *runs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], ["d", "th", "pos", "start", "next", "h", "pre_at", "pre", "post_at", "post"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("d is not null")
-    # One row for each line of a document, then the earliest holder of each line with its places: a hot line is summed
-    # up in each task before the shuffle, and the join that follows can be split.
-    held = source.mapInArrow(run, LINES).groupBy("h", "d", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "next", "tail"))).alias("mine"))
-    held = materialize(held)
-    first = held.groupBy("h").agg(F.min(F.struct("d", F.transform("mine", lambda m: F.struct(m["pos"].alias("pos"), m["tail"].alias("tail"))).alias("at"))).alias("m"), F.max("d").alias("z"))
-    holders = materialize(first.where("m.d < z").select("h", F.col("m.d").alias("o"), F.col("m.at").alias("at")))
-    pairs = held.join(holders, "h").where("d > o").groupBy("d", "th", "o").agg(F.collect_list(F.struct("h", "mine", "at")).alias("own"))
+    # One row for each line of a document with its places, in order, then the earliest holder of each line: a hot line is
+    # summed up in each task before the shuffle, and the join that follows can be split.
+    place = F.struct("pos", "start", "next", "pre_at", "pre", "post_at", "post")
+    held = materialize(source.mapInArrow(run, LINES).groupBy("h", "d", "th").agg(F.sort_array(F.collect_set(place)).alias("mine")))
+    seen = F.transform("mine", lambda m: F.struct(m["pos"].alias("pos"), m["pre"].alias("pre"), m["post"].alias("post")))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From pairs, the lines that align (h, pos) and with each the ranges that go (a, z)."""
         for b in batches:
             rows = []
             for d, th, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                mine = sorted((y["pos"], x["h"], y["tail"], y["next"]) for x in own for y in x["mine"])
-                theirs = sorted((y["pos"], x["h"], y["tail"]) for x in own for y in x["at"])
+                mine = sorted(((y["pos"], x["h"], y) for x in own for y in x["mine"]), key=lambda y: y[0])
+                theirs = sorted(((y["pos"], x["h"], y) for x in own for y in x["at"]), key=lambda y: y[0])
                 for i, j in patience([x[1] for x in mine], [y[1] for y in theirs]):
-                    pos, _, tail, after = mine[i]
-                    rows.append((d, th, pos, after if tail == theirs[j][2] else pos + 1))
+                    pos, h, x = mine[i]
+                    y = theirs[j][2]
+                    rows.append((d, th, h, pos, pos, pos + 1))
+                    ranges = shared_run(x["pre"], x["pre_at"], y["pre"], x["start"], pos) if x["pre"] else []
+                    ranges += shared_run(x["post"], x["post_at"], y["post"], pos + 1, x["next"])
+                    rows += [(d, th, h, pos, *r) for r in ranges]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["d", "th", "a", "z"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], ["d", "th", "h", "pos", "a", "z"])
+
+    def aligned(met: DataFrame) -> DataFrame:
+        """From rows (h, d, th, o, mine, at): lines of d and the partner's lines."""
+        pairs = met.groupBy("d", "th", "o").agg(F.collect_list(F.struct("h", "mine", "at")).alias("own"))
+        return materialize(pairs.select("d", "th", "own").mapInArrow(align, "d long, th long, h long, pos int, a int, z int"))
 
-    gone = pairs.select("d", "th", "own").mapInArrow(align, "d long, th long, a int, z int")
-    return gone.groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("gone"))
+    first = held.groupBy("h").agg(F.min(F.struct("d", seen.alias("at"))).alias("m"), F.max("d").alias("z"))
+    holders = materialize(first.where("m.d < z").select("h", F.col("m.d").alias("o"), F.col("m.at").alias("at")))
+    later = held.join(holders, "h").where("d > o")
+    gone = aligned(later.select("h", "d", "th", "o", "mine", "at"))
+    found = gone
+    # What is left over meets the other earlier holders, from the second on, as many of them as it takes to match its
+    # places one by one; what does not align there, for order, meets the holders after those.
+    left = later.select("h", "d", "th", "mine", F.lit(1).alias("used"))
+    ranked = None
+    while True:
+        went = found.groupBy("h", "d", "th").agg(F.collect_set("pos").alias("went"))
+        left = left.join(went, ["h", "d", "th"], "left").withColumn("mine", F.when(F.col("went").isNull(), F.col("mine")).otherwise(F.filter("mine", lambda m: ~F.array_contains("went", m["pos"]))))
+        left = materialize(left.where("size(mine) > 0").drop("went"))
+        if not left.limit(1).count():
+            break
+        if ranked is None:
+            # The holders of the lines that are left over, numbered in order; upto counts their places before and with them.
+            near = held.join(left.select("h").distinct(), "h", "left_semi").groupBy("h", "d").agg(F.max_by(F.col("mine"), F.size("mine")).alias("mine"))
+            order = Window.partitionBy("h").orderBy("d")
+            counted = near.select("h", "d", F.size("mine").alias("n")).withColumn("nth", F.row_number().over(order)).withColumn("upto", F.sum("n").over(order))
+            ranked = materialize(near.join(counted, ["h", "d"]).select("h", F.col("d").alias("o"), "nth", "upto", "n", seen.alias("at")))
+        base = left.join(ranked.select("h", F.col("nth").alias("used"), F.col("upto").alias("base")), ["h", "used"])
+        # Each place left over meets the holder's place of its number: one row for one row.
+        wanted = base.select("h", "d", "th", "base", F.posexplode("mine").alias("i", "m")).withColumn("p", F.col("base") + F.col("i"))
+        slots = ranked.select("h", "o", "nth", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("p"))
+        hit = wanted.join(slots, ["h", "p"]).where("o < d").groupBy("h", "d", "th", "o", "nth").agg(F.sort_array(F.collect_list("m")).alias("mine"))
+        met = materialize(hit.join(ranked.select("h", "o", "at"), ["h", "o"]).select("h", "d", "th", "o", "nth", "mine", "at"))
+        if not met.limit(1).count():
+            break
+        found = aligned(met.select("h", "d", "th", "o", "mine", "at"))
+        gone = gone.union(found)
+        reached = met.groupBy("h", "d", "th").agg(F.max("nth").alias("used"))
+        left = left.drop("used").join(reached, ["h", "d", "th"])
+    ranges = gone.select("d", "th", "a", "z").groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("r"))
+    return ranges.select("d", "th", merged(F.col("r")).alias("gone"))
+
+
+def merged(ranges):
+    """Sorted ranges with those that meet made one."""
+    start = F.array().cast("array<struct<a:int,z:int>>")
+
+    def add(state, r):
+        joins = state["open"]["z"] >= r["a"]
+        both = F.struct(state["open"]["a"].alias("a"), F.greatest(state["open"]["z"], r["z"]).alias("z"))
+        return F.struct(F.when(joins, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"), F.when(joins, both).otherwise(F.struct(r["a"].alias("a"), r["z"].alias("z"))).alias("open"))
+
+    first = F.struct(ranges[0]["a"].alias("a"), ranges[0]["z"].alias("z"))
+    return F.aggregate(ranges, F.struct(start.alias("done"), first.alias("open")), add, lambda s: F.concat(s["done"], F.array(s["open"])))
 
 
 def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MIN_WORDS) -> DataFrame:
