@@ -7,7 +7,8 @@ meet their other earlier holders, as many as it takes to match each place with o
 What a pair has in common is aligned by patience diff: lines that either side holds once are matched,
 a longest increasing run of them is kept, gaps are aligned in turn, and lines that repeat are matched
 by occurrence where no single ones are left. The aligned lines are deleted from the later
-document, along with the short lines just before and after them that align as well.
+document, along with the short lines just before and after them that align as well. A text that
+an earlier document has as a whole is deleted as a whole, short lines included.
 
 Rows carry line hashes, never texts; a pair's rows together are no more than the later document's lines.
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netdensity.llm.common import let
+from netdensity.llm.common import WORD, let
 from netdensity.session import materialize
 
 MIN_WORDS = 5
@@ -200,7 +201,11 @@ def deletions(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MI
         gone = gone.union(found)
         reached = met.groupBy("h", "d", "th").agg(F.max("nth").alias("used"))
         left = left.drop("used").join(reached, ["h", "d", "th"])
-    ranges = gone.select("d", "th", "a", "z").groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("r"))
+    # A whole text that an earlier document has goes whatever its lines are.
+    worded = source.where(F.regexp_count("t", F.lit(WORD)) > 0).select("d", "th", F.size(F.split("t", "\n", -1)).alias("z")).distinct()
+    least = worded.groupBy("th").agg(F.min("d").alias("o"))
+    whole = worded.join(least, "th").where("d > o").select("d", "th", F.lit(0).alias("a"), "z")
+    ranges = gone.select("d", "th", "a", "z").union(whole).groupBy("d", "th").agg(F.sort_array(F.collect_set(F.struct("a", "z"))).alias("r"))
     return ranges.select("d", "th", merged(F.col("r")).alias("gone"))
 
 

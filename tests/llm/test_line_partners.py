@@ -20,3 +20,12 @@ def test_other_earlier_holders_are_met(spark):
     assert got[3] == (2, c)  # 2 has both lines in this order
     assert got[4][0] == 3  # one of each of three earlier documents
     assert got[5] == (3, c)  # c once in 3; the second c has no other holder
+
+
+def test_short_lines_of_copies_go(spark):
+    head = f"Haanth.\n\n{line(1)}\nyes\nno\n{line(2)}"
+    rows = [(1, head), (2, head), (3, "a b\nc"), (4, "a b\nc"), (5, f"Haanth.\n{line(1)}\nno\nother"), (6, "c"), (7, ""), (8, "")]
+    got = removed(spark, rows)
+    assert got[2] == (6, "") and got[4] == (2, "")
+    assert got[5] == (3, "other")
+    assert [got[k][0] for k in (1, 3, 6, 7, 8)] == [0] * 5
