@@ -151,6 +151,31 @@ def test_bpe_equals_the_library(spark):
     assert bpe.roundtrip(docs(spark, []), path, bpe.build(docs(spark, []), path)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1 << 22, 40])
+def test_bpe_of_every_character_and_odd_strings(monkeypatch, piece):
+    monkeypatch.setattr(bpe, "PIECE", piece)
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    path, rng = str(public_tokenizers.path("word_bpe_49k.json")), random.Random(5)
+    tok = tokenizers.Tokenizer.from_file(path)
+    frequent = ["the", "of", "'s", "é", "a"]
+    codec = bpe.Codec(bpe.Rules(path), bpe.Lexicon(bpe.compile_lexicon({w: tok.encode(w).ids for w in frequent})))
+    odd = ["'s", "'S", "'re", "'ll", "'", "''", "'t've", "a", "é", "É", "İ", "Σ", "ς", "1", "23", "٣", "²", " ", "  ", "\n", "\x85", "\u2003", "\x1c", "$", "%%", "漢", "ﬁ", "\u0307", "e\u0301", "<|endoftext|>", "<|startoftext|>", "<|end", "the", "of", "😀", "x" * 70, "ab" * 50]
+    texts = [None, ""] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(400 if piece < 100 else 3000)]
+    if piece > 100:
+        points = [p for p in range(0x18900) if not 0xD800 <= p < 0xE000]
+        texts += ["".join(f"a?1 {chr(p)}a{chr(p)}?{chr(p)}1 {chr(p)}'s" for p in points[a : a + 64]) for a in range(0, len(points), 64)]
+    sha, seen = lambda s: hashlib.sha256(s.encode()).hexdigest(), 0
+    for first, ids, ends in codec.documents(texts):
+        assert first == seen
+        for k, (a, z, x, y) in enumerate(zip([0, *ends[:-1]], ends, *codec.digests(ids, ends))):
+            expected = tok.encode(texts[first + k] or "", add_special_tokens=False).ids
+            assert ids[a:z].tolist() == expected
+            assert (x, y) == (sha(" ".join(map(str, expected))), sha(tok.decode(expected, skip_special_tokens=False)))
+            assert codec.decode(expected) == tok.decode(expected, skip_special_tokens=False)
+        seen += len(ends)
+    assert seen == len(texts)
+
+
 def test_lexicon_accepts_its_words_only():
     rng = random.Random(1)
     entries = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 7))): [i, i + 1][: 1 + i % 2] for i in range(400)}
