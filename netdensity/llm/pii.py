@@ -18,7 +18,8 @@ candidate stays if its log odds are above zero. Base spans always stay.
 Offsets are code points. Where a pattern's matches begin follows from the lengths of what lies between them.
 
 Defined results: a null or empty text has no spans; a row is judged by itself but for the trained weights, so repeated
-rows agree; an empty table gives no rows; other columns are ignored.
+rows agree; a very long text, also one long run of digits, labels or key letters, is matched whole and takes no stack; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ from netdensity.session import materialize
 
 LOCAL = "A-Za-z0-9._%+-"
 # The four patterns of the contract. A match begins where the last one ended or where no character of its first run
-# stands before, which finds the same matches but passes over a long run once.
-EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# stands before, which finds the same matches but passes over a long run once; repeated groups are possessive, which finds the
+# same where nothing follows them and takes no stack.
+EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SECRET = r"[A-Za-z0-9_+/=-]{20,}"
 KINDS = ("email", "ip", "card", "phone", "number", "secret")
@@ -53,15 +55,16 @@ ROUNDS, PRIOR = 50, 0.5
 
 
 def prefix(s: Column) -> Column:
-    """For an array of longs, the sums of what stands before each place; chunked, so long arrays stay cheap."""
+    """For an array of longs, the sums of what stands before each place; by chunks, so that long arrays stay cheap."""
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    before = lambda x: F.transform(x, lambda y, i: total(F.slice(x, 1, i)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / CHUNK).cast("int")), lambda b: F.slice(s, b * CHUNK + 1, CHUNK))
 
-    def with_blocks(s: Column, blocks: Column) -> Column:
-        before = F.transform(blocks, lambda b, k: total(F.slice(blocks, 1, k)))
-        return let(before, lambda p: F.transform(s, lambda x, i: F.get(p, F.floor(i / CHUNK).cast("int")) + total(F.slice(s, (F.floor(i / CHUNK) * CHUNK).cast("int") + 1, i % CHUNK))))
+    def placed(chunks: Column) -> Column:
+        sums = let(F.transform(chunks, total), before)
+        return let(sums, lambda p: F.flatten(F.transform(chunks, lambda c, k: F.transform(before(c), lambda x: x + F.get(p, k)))))
 
-    blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / CHUNK).cast("int")), lambda b: total(F.slice(s, b * CHUNK + 1, CHUNK)))
-    return F.when(F.size(s) == 0, F.array().cast("array<bigint>")).otherwise(let(blocks(s), lambda b: with_blocks(s, b)))
+    return F.when(F.size(s) == 0, F.array().cast("array<bigint>")).otherwise(let(chunks, placed))
 
 
 def matches(text: Column, pattern: str, guard: Column) -> Column:
@@ -114,11 +117,11 @@ def judged(family: str, c: Column) -> Column:
     near = F.rlike(low, F.lit(r"(?:^|[^a-z])(?:" + "|".join(GAZETTEER[family]) + r")[^a-z]*$"))
     if family == "number":
         form = vote(F.rlike(m, F.lit(r"^(?:[0-9]{3}[ -][0-9]{3}[ -][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{2}(?:[ -][0-9]{2}){4})$")), ~n.between(7, 19))
-        shape = vote(F.lit(False), F.rlike(m, F.lit(r"^(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|([0-9])(?:[ -]?\1)*|[0-9]{1,6})$")))
+        shape = vote(F.lit(False), F.rlike(m, F.lit(r"^(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|([0-9])(?:[ -]?\1)*+|[0-9]{1,6})$")))
         context = vote(F.rlike(c["before"], F.lit(r"[:=#(] ?$")), F.rlike(c["before"], F.lit(r"[$€£.,/]$")) | F.rlike(c["after"], F.lit(r"^(?:[.,/][0-9]|[%€$£A-Za-z]| ?(?:km|kg|usd|eur)\b)")))
     else:
         form = vote(F.rlike(m, F.lit(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_+/=-]{20,})$")), ~F.rlike(m, F.lit("[0-9]")) | ~F.rlike(m, F.lit("[A-Za-z]")))
-        shape = vote(n >= 5, F.rlike(m, F.lit(r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[0-9]{0,4}$|^[=_+/-]+$|^[0-9-]+$")))
+        shape = vote(n >= 5, F.rlike(m, F.lit(r"^[A-Za-z]++(?:[-_/][A-Za-z]++)*+[0-9]{0,4}$|^[=_+/-]+$|^[0-9-]+$")))
         context = vote(F.rlike(c["before"], F.lit(r"[:=] ?[\"']?$|[\"']$")), F.rlike(c["before"], F.lit(r"[/.#?&]$")))
     return F.struct(
         F.lit(family).alias("kind"), c["s"].alias("s"), c["e"].alias("e"),
@@ -140,15 +143,19 @@ def spans_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.filter(matches(t, CARD, has_digits), lambda c: valid_card(c["m"])).alias("card"),
         F.filter(matches(t, PHONE, F.contains(t, F.lit("+"))), lambda c: F.char_length(digits(c["m"])).between(9, 15)).alias("phone"),
     )
-    others = f"{EMAIL}|{IP}|{PHONE}"
 
-    def masked(t: Column) -> Column:
+    def masked(t: Column, pattern: str, sign: Column) -> Column:
         def join(f: Column, g: Column) -> Column:
             return F.array_join(F.transform(g, lambda x, k: F.concat(x, F.repeat(F.lit(MASK), F.coalesce(F.char_length(F.get(f, k)), F.lit(0))))), "")
 
-        return let(F.regexp_extract_all(t, F.lit(others), F.lit(0)), lambda f: F.when(F.size(f) == 0, t).otherwise(let(F.split(t, others, -1), lambda g: join(f, g))))
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.when(sign, let(found, lambda f: F.when(F.size(f) == 0, t).otherwise(let(F.split(t, pattern, -1), lambda g: join(f, g))))).otherwise(t)
 
-    found = found.withColumn("u", F.when(F.contains("t", F.lit("@")) | F.rlike("t", F.lit("[0-9]")), masked(F.col("t"))).otherwise(F.col("t")))
+    # One pattern after the other: each by itself passes over a long run once.
+    u = masked(F.col("t"), EMAIL, F.contains(F.col("t"), F.lit("@")))
+    u = let(u, lambda x: masked(x, PHONE, F.contains(x, F.lit("+"))))
+    u = let(u, lambda x: masked(x, IP, F.rlike(x, F.lit("[0-9]\\.[0-9]"))))
+    found = found.withColumn("u", u)
     u = F.col("u")
     numbers = F.filter(matches(u, CARD, F.rlike(u, F.lit("[0-9]"))), lambda c: (F.char_length(digits(c["m"])) >= 6) & ~valid_card(c["m"]))
     secrets = F.filter(matches(u, SECRET, F.rlike(u, F.lit(SECRET))), lambda c: F.rlike(c["m"], F.lit("[A-Za-z]")))

@@ -399,6 +399,34 @@ def test_base_spans(spark):
     assert pii.digest(pii.find(docs(spark, []))).count() == 0
 
 
+def test_very_long_runs(spark):
+    texts = ["1" * 10**6, "1 " * 500_000, "a@b" + ".cb" * 300_000, "a-" * 400_000 + "b1", "1-1 " * 250_000, "aB1" * 300_000, "1." * 400_000, "+1 (" * 200_000, "a@" * 300_000]
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs(spark, list(enumerate(texts))))).collect()}
+    counts = [(0, 0, 0, 0)] * len(texts)
+    counts[2], counts[6] = (1, 0, 0, 0), (0, 100_000, 0, 0)
+    assert [(got[k].n_email, got[k].n_ip, got[k].n_card, got[k].n_phone) for k in range(len(texts))] == counts
+    assert got[2].spans == f"email:0:{len(texts[2])}" and got[5].spans in ("", f"secret:0:{len(texts[5])}")
+
+
+def test_added_spans_of_planted_texts(spark):
+    rng, rows, planted = random.Random(3), [], {}
+    prose = lambda: " ".join(rng.choice(["and", "the", "of", "house", "12", "1999", "well-known", "3.5"]) for _ in range(rng.randint(20, 60)))
+    for k in range(300):
+        before, after = prose(), prose()
+        if k % 3 == 0:
+            x, lead, kind = "".join(rng.choice("0123456789abcdef") for _ in range(40)), ' token = "', "secret"
+        elif k % 3 == 1:
+            x, lead, kind = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}", " phone: ", "number"
+        else:
+            x, lead, kind = "", " ", None
+        rows.append((k, before + lead + x + ('" ' if kind == "secret" else ". ") + after))
+        planted[k] = f"{kind}:{len(before + lead)}:{len(before + lead + x)}" if kind else ""
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(docs(spark, rows))).collect()}
+    caught = sum(planted[k] in got[k].split(",") for k in planted if planted[k])
+    clean = sum(not got[k] for k in planted if not planted[k])
+    assert caught >= 195 and clean >= 95
+
+
 def test_training_tells_good_from_bad():
     rows = [{"kind": "secret", "v0": 1, "v1": 1, "v2": 1, "v3": 1, "f_len": 3, "f_digits": 1, "n": 40}, {"kind": "secret", "v0": -1, "v1": 0, "v2": 0, "v3": -1, "f_len": 2, "f_digits": 0, "n": 200}, {"kind": "secret", "v0": 1, "v1": 0, "v2": 0, "v3": 1, "f_len": 3, "f_digits": 1, "n": 15}]
     m = pii.train(rows)
