@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from netdensity.functions import geo
 from netdensity.operators import spatial, sssp
 from netdensity.operators.order import running
+from netdensity.session import materialize
 
 SCORED = "qid long, score double"
 
@@ -117,61 +117,37 @@ def normalised(df: DataFrame, score: str, how: str = "log1p") -> DataFrame:
 
 
 def streets(segments: DataFrame, edges: DataFrame, snapped: DataFrame, radius: float, penalty: float, scale: float) -> DataFrame:
-    """(e, i, score): kernel sums along edges, one walk per destination.
-
-    Edges (e, u, v, w) and their segments (e, i, start_dist, end_dist) are measured from u. A destination (pid, e, along) walks
-    both ways from its place. A directed edge is taken once in each direction flag, crossing a node of degree over two
-    costs ``penalty``, and no walk turns back. The segment that holds the destination gets nothing, and a segment list
-    is shared by both directions of an edge, measured from its first end whichever way the walk goes.
-
-    Destinations are grouped by the lattice cell of their edge's first end, with the edges in reach of the cell."""
-    seg = segments.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("i", "start_dist", "end_dist"))).alias("segs"))
-    full = edges.join(seg, "e")
-    at = snapped.join(edges.select("e", "ux", "uy"), "e")
-    width = 2 * radius
-    own = at.select(F.floor(F.col("ux") / width).alias("cx"), F.floor(F.col("uy") / width).alias("cy"), F.lit("poi").alias("kind"), "pid", "e", "along", *[F.lit(None).cast(t).alias(c) for c, t in (("u", "long"), ("v", "long"), ("w", "double"), ("segs", "array<struct<i:int,start_dist:double,end_dist:double>>"))])
-    spread = full.withColumn("cx", F.explode(F.sequence(F.floor((F.col("ux") - 2 * radius) / width), F.floor((F.col("ux") + 2 * radius) / width)))).withColumn("cy", F.explode(F.sequence(F.floor((F.col("uy") - 2 * radius) / width), F.floor((F.col("uy") + 2 * radius) / width))))
-    rows = own.union(spread.select("cx", "cy", F.lit("edge"), F.lit(None).cast("long"), "e", F.lit(None).cast("double"), "u", "v", "w", "segs"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pois = pdf[pdf["kind"] == "poi"].sort_values("pid")
-        if pois.empty:
-            return pd.DataFrame({"e": pd.Series(dtype="int64"), "i": pd.Series(dtype="int32"), "score": pd.Series(dtype="float64")})
-        edge: dict[int, tuple] = {}
-        of_pair: dict[tuple[int, int], int] = {}
-        near: dict[int, list[int]] = {}
-        for e, u, v, w, segs in pdf[pdf["kind"] == "edge"].sort_values("e")[["e", "u", "v", "w", "segs"]].itertuples(index=False):
-            e, u, v = int(e), int(u), int(v)
-            edge[e] = (u, v, w, [(s["i"], s["start_dist"], s["end_dist"]) for s in segs])
-            of_pair[u, v] = of_pair[v, u] = e
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        score: dict[tuple[int, int], float] = {}
-        for e, along in pois[["e", "along"]].itertuples(index=False):
-            u, v, _, _ = edge[int(e)]
-            queue, seen = [(0.0, (u, v), along, "forward"), (0.0, (u, v), along, "backward")], set()
-            heapq.heapify(queue)
-            while queue:
-                d, pair, at_, way = heapq.heappop(queue)
-                if d > radius or (pair, way) in seen:
-                    continue
-                seen.add((pair, way))
-                k = of_pair[pair]
-                _, _, w, segs = edge[k]
-                for i, a, z in segs:
-                    far = d + (a + z) / 2 - at_ if way == "forward" and a >= at_ else d + at_ - (a + z) / 2 if way == "backward" and z <= at_ else None
-                    if far is not None and far <= radius:
-                        score[k, i] = score.get((k, i), 0.0) + math.exp(-far / scale)
-                end, d = (pair[1], d + w - at_) if way == "forward" else (pair[0], d + at_)
-                if len(near[end]) > 2:
-                    d += penalty
-                if d <= radius:
-                    for n in near[end]:
-                        if n not in pair:
-                            heapq.heappush(queue, (d, (end, n), 0.0, "forward"))
-        rows = [(e, i, s) for (e, i), s in score.items()]
-        return pd.DataFrame(rows, columns=["e", "i", "score"]).astype({"e": "int64", "i": "int32", "score": "float64"})
-
-    walked = rows.groupBy("cx", "cy").applyInPandas(run, "e long, i int, score double")
-    sums = walked.groupBy("e", "i").agg(F.sum("score").alias("score"))
+    """(e, i, score): kernel sums along edges, from every destination outwards.
+
+    Edges (e, u, v, w) and their segments (e, i, start_dist, end_dist) are measured from u; a destination (pid, e, along) lies on
+    an edge. A lane is an edge taken in one direction. The least distance at which a destination's walk enters each lane follows
+    from a frontier of lanes: each round joins it with the turns, which lead from a lane to those that go on from its end, never
+    back, and cost its length, and ``penalty`` where more than two edges meet. Rounds end when no lane is entered nearer within the radius.
+
+    A lane entered at d gives its edge's segments the kernel of d and their middle's distance from u, whichever way the lane
+    goes; the destination's own edge gives what lies wholly on either side of it. Its own direction is not entered again."""
+    ends = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "e", "w").union(edges.select("v", "u", "e", "w"))
+    toll = ends.groupBy("a").agg(F.when(F.count("*") > 2, F.lit(float(penalty))).otherwise(F.lit(0.0)).alias("toll"))
+    lanes = materialize(ends.groupBy("a", "b").agg(F.max(F.struct("e", "w")).alias("x")).select("a", "b", "x.e", "x.w"))
+    onward = lanes.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    turns = lanes.join(toll.withColumnRenamed("a", "b"), "b").join(onward, "b").where("c <> a and c <> b").select("a", "b", "c", (F.col("w") + F.col("toll")).alias("cost"))
+    turns = materialize(turns)
+
+    own = snapped.join(edges.select("e", "u", "v", "w"), "e")
+    exits = own.select("pid", F.explode(F.array(F.struct(F.col("v").alias("at"), (F.col("w") - F.col("along")).alias("d")), F.struct(F.col("u").alias("at"), F.col("along").alias("d")))).alias("x"), "u", "v")
+    exits = exits.select("pid", F.col("x.at").alias("a"), F.col("x.d").alias("d"), "u", "v").join(toll, "a").join(onward.withColumnRenamed("b", "a").withColumnRenamed("c", "b"), "a")
+    first = exits.where("b <> u and b <> v").select("pid", "u", "v", "a", "b", (F.col("d") + F.col("toll")).alias("d")).where(F.col("d") <= radius)
+    walk = ["pid", "u", "v", "a", "b"]
+    entered = frontier = materialize(first.groupBy(*walk).agg(F.min("d").alias("d")))
+    while frontier.limit(1).count():
+        ahead = frontier.join(turns, ["a", "b"]).select("pid", "u", "v", F.col("b").alias("a"), F.col("c").alias("b"), (F.col("d") + F.col("cost")).alias("d"))
+        ahead = ahead.where((F.col("d") <= radius) & ~((F.col("a") == F.col("u")) & (F.col("b") == F.col("v")))).groupBy(*walk).agg(F.min("d").alias("d"))
+        known = entered.select(*walk, F.col("d").alias("had"))
+        frontier = materialize(ahead.join(known, walk, "left").where("had is null or d < had").select(*walk, "d"))
+        entered = materialize(entered.union(frontier).groupBy(*walk).agg(F.min("d").alias("d")))
+
+    middle = (F.col("start_dist") + F.col("end_dist")) / 2
+    beside = own.join(segments, "e").where("start_dist >= along or end_dist <= along").select("e", "i", F.abs(middle - F.col("along")).alias("far"))
+    beyond = entered.join(lanes, ["a", "b"]).join(segments, "e").select("e", "i", (F.col("d") + middle).alias("far"))
+    sums = beside.union(beyond).where(F.col("far") <= radius).groupBy("e", "i").agg(F.sum(F.exp(-F.col("far") / scale)).alias("score"))
     return segments.select("e", "i").join(sums, ["e", "i"], "left").select("e", "i", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -386,12 +386,28 @@ def score_compare(spark, d):
     return score.with_bounds(each, v).select("ci", "ri", "config", F.round(F.when(high > low, (v - low) / (high - low)).otherwise(0.0), 6).alias("norm"))
 
 
-@BOOK.add()
+_WALK = f"""WITH RECURSIVE {_SNAP_EDGE[5:]},
+l AS (SELECT e // 1000000 AS a, e % 1000000 AS b, e FROM e UNION ALL SELECT e % 1000000, e // 1000000, e FROM e),
+toll AS (SELECT a, CASE WHEN count(*) > 2 THEN 50.0::DOUBLE ELSE 0 END AS toll FROM l GROUP BY a),
+own AS (SELECT k, m.e AS e, m.along AS along, m.e // 1000000 AS u, m.e % 1000000 AS v FROM g),
+out AS (SELECT k, u, v, v AS at, 50 - along AS d FROM own UNION ALL SELECT k, u, v, u, along FROM own),
+walk(k, u, v, a, b, d) AS (
+  SELECT k, u, v, l.a, l.b, d + toll FROM out JOIN toll ON toll.a = out.at JOIN l ON l.a = out.at WHERE l.b <> u AND l.b <> v AND d + toll <= 300
+  UNION ALL SELECT k, u, v, l.a, l.b, d + 50 + toll FROM walk JOIN toll ON toll.a = walk.b JOIN l ON l.a = walk.b
+  WHERE l.b <> walk.a AND d + 50 + toll <= 300 AND NOT (l.a = u AND l.b = v)),
+entered AS (SELECT k, a, b, min(d) AS d FROM walk GROUP BY 1, 2, 3),
+s AS (SELECT e, i, i * 10.0::DOUBLE AS low, (i + 1) * 10.0::DOUBLE AS high, i * 10.0::DOUBLE + 5 AS middle FROM e, (SELECT unnest(range(5)) AS i)),
+far AS (SELECT s.e, i, abs(middle - along) AS far FROM s JOIN own ON own.e = s.e WHERE low >= along OR high <= along
+  UNION ALL SELECT s.e, i, d + middle FROM entered JOIN l ON l.a = entered.a AND l.b = entered.b JOIN s ON s.e = l.e),
+credit AS (SELECT e, i, sum(exp(-far / 120.0::DOUBLE)) AS score FROM far WHERE far <= 300 GROUP BY 1, 2)"""
+
+
+@BOOK.add(fx.sql(f"{_WALK} SELECT s.e, CAST(s.i AS INTEGER) AS i, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN credit ON credit.e = s.e AND credit.i = s.i", "edge", "poi"))
 def score_streets(spark, d):
     return streets_of(spark, d).select("e", "i", F.round("score", 6).alias("score"))
 
 
-@BOOK.add(name="graph_street_walk")
+@BOOK.add(fx.sql(f"{_WALK} SELECT e, round(sum(score), 6) AS score FROM credit GROUP BY 1 HAVING round(sum(score), 6) > 0", "edge", "poi"))
 def graph_street_walk(spark, d):
     """Edges that a street walk credits, with their totals."""
     return streets_of(spark, d).groupBy("e").agg(F.round(F.sum("score"), 6).alias("score")).where("score > 0")

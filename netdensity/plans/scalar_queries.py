@@ -71,14 +71,14 @@ def fn_bbox_buffer(spark, d):
     return p.select("id", _round(p.lon - dx, 9).alias("west"), _round(p.lat - dy, 9).alias("south"), _round(p.lon + dx, 9).alias("east"), _round(p.lat + dy, 9).alias("north"))
 
 
-# A small box around every 50th place, with 65 points an edge.
-_BOX = "WITH e AS (SELECT id, lon + s.i / 64.0::DOUBLE * 0.05 AS a, lat AS b FROM place, (SELECT unnest(range(65)) AS i) s WHERE id % 50 = 0 UNION ALL SELECT id, lon + s.i / 64.0::DOUBLE * 0.05, lat + 0.03 FROM place, (SELECT unnest(range(65)) AS i) s WHERE id % 50 = 0 UNION ALL SELECT id, lon, lat + s.i / 64.0::DOUBLE * 0.03 FROM place, (SELECT unnest(range(65)) AS i) s WHERE id % 50 = 0 UNION ALL SELECT id, lon + 0.05, lat + s.i / 64.0::DOUBLE * 0.03 FROM place, (SELECT unnest(range(65)) AS i) s WHERE id % 50 = 0), "
+# A small box at every place, with 65 points an edge.
+_BOX = "WITH e AS (SELECT id, lon + s.i / 64.0::DOUBLE * 0.05 AS a, lat AS b FROM place, (SELECT unnest(range(65)) AS i) s UNION ALL SELECT id, lon + s.i / 64.0::DOUBLE * 0.05, lat + 0.03 FROM place, (SELECT unnest(range(65)) AS i) s UNION ALL SELECT id, lon, lat + s.i / 64.0::DOUBLE * 0.03 FROM place, (SELECT unnest(range(65)) AS i) s UNION ALL SELECT id, lon + 0.05, lat + s.i / 64.0::DOUBLE * 0.03 FROM place, (SELECT unnest(range(65)) AS i) s), "
 _BOX_XY = f"a AS (SELECT *, {forward_sql('a', 'b')} FROM e), b2 AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM a) "
 
 
 @BOOK.add(fx.sql(_BOX + _BOX_XY + f"SELECT id, round(min({EAST}), 4) AS west, round(min({NORTH}), 4) AS south, round(max({EAST}), 4) AS east, round(max({NORTH}), 4) AS north FROM b2 GROUP BY id", "place"))
 def fn_projected_bounds(spark, d):
-    boxes = fx.place(spark, d).where("id % 50 = 0").select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 0.05).alias("east"), (F.col("lat") + 0.03).alias("north"))
+    boxes = fx.place(spark, d).select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 0.05).alias("east"), (F.col("lat") + 0.03).alias("north"))
     return graph.projected_bounds(boxes, "id").select("id", *[_round(F.col(c), 4).alias(c) for c in ("west", "south", "east", "north")])
 
 

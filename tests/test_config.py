@@ -22,15 +22,31 @@ def test_kernels_and_settings():
     assert config.cell_size(1e6, 100, 10, 50) == 50 and config.cell_size(1e6, 10_000, 5, 50) == 10
 
 
-def test_rules():
-    rules = {"allow": {"shop": ["*"], "amenity": ["cafe", "bar"]}, "deny": {}}
-    assert config.selectors(rules) == ['["shop"]', '["amenity"~"^(cafe|bar)$"]']
-    config.check_categories({"acquisition_poi_allow_sha256": config.rules_hash(rules)}, rules)
-    query = "".join(f'{kind}{s}(1,2,3,4);' for s in config.selectors(rules) for kind in ("node", "way", "relation"))
-    config.check_categories({"query": query}, rules)
-    for bad in ({"acquisition_poi_allow_sha256": "0"}, {"query": query.replace("way", "wax")}, {}):
+RULES = {"allow": {"craft": ["*"], "leisure": ["park", "pitch"]}, "deny": {}}
+
+
+def test_selectors():
+    assert [config.selector("craft", ["*"]), config.selector("leisure", ["park"])] == ['["craft"]', '["leisure"~"^(park)$"]']
+    assert set(config.selectors(RULES)) == {'["craft"]', '["leisure"~"^(park|pitch)$"]'}
+
+
+@pytest.mark.parametrize("kept", range(7))
+def test_a_query_must_ask_for_every_kind_and_selector(kept):
+    asked = [f"{k}{s}(47,7,48,8);" for k in config.QUERY_KINDS for s in config.selectors(RULES)]
+    query = "[out:json];(" + "".join(asked[:kept]) + ");out;"
+    assert len(config.asked_for(query)) == kept
+    if kept == 6:
+        config.check_categories({"query": query}, RULES)
+    else:
         with pytest.raises(ValueError):
-            config.check_categories(bad, rules)
+            config.check_categories({"query": query}, RULES)
+
+
+def test_a_hash_decides_where_there_is_one():
+    same = config.rules_hash({"deny": {"x": []}, "allow": dict(reversed(RULES["allow"].items()))})
+    config.check_categories({config.CATEGORY_HASH: same}, RULES)
+    with pytest.raises(ValueError):
+        config.check_categories({config.CATEGORY_HASH: config.rules_hash({"allow": {}})}, RULES)
 
 
 def test_budgets(tmp_path):
