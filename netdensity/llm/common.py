@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white space that separates words: space and the controls 9 to 13.
@@ -18,6 +18,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` with so many underscores before them that no column of ``docs`` has them, in any case."""
+    taken, lead = {c.lower() for c in docs.columns}, "__"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return let(

@@ -14,7 +14,8 @@ Rows carry line hashes, never texts; a pair's rows together are no more than the
 
 Defined results: a null text counts as empty and comes back as it was; rows without a doc_id are left alone; rows
 that share a doc_id are not compared with each other; a repeat of a line within its own document
-stays; an empty table gives no rows; other columns pass through.
+stays; a very long text is aligned whole; an empty table gives no rows;
+other columns, whatever their names, pass through, but for __n_lines and __n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netdensity.llm.common import WORD, let
+from netdensity.llm.common import WORD, free, let
 from netdensity.session import materialize
 
 MIN_WORDS = 5
@@ -223,10 +224,11 @@ def merged(ranges):
 
 
 def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text cleaned, and __n_lines, __n_removed: lines before, and lines deleted."""
-    gone = deletions(docs, doc_id, text, min_words).select(F.col("d").alias("__d"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__k", F.col(doc_id).cast("long")).withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(gone, (F.col("__k") == F.col("__d")) & (F.col("__t") == F.col("__th")), "left")
+    """``docs`` with the text cleaned, and __n_lines, __n_removed: lines before, and lines deleted; columns of these two names are replaced."""
+    d, th, gone = free(docs, "d", "th", "gone")
+    ranges = deletions(docs, doc_id, text, min_words).select(F.col("d").alias(d), F.col("th").alias(th), F.col("gone").alias(gone))
+    keyed = docs.withColumn(d, F.col(doc_id).cast("long")).withColumn(th, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(ranges, [d, th], "left")
     lines = F.split(F.col(text), "\n", -1)
 
     def kept(all_lines, ranges):
@@ -235,10 +237,10 @@ def dedup_lines(docs: DataFrame, doc_id="doc_id", text="text", min_words: int =
         ends = F.concat(F.transform(ranges, lambda r: r["a"]), F.array(F.size(all_lines)))
         return let(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.array_join(F.flatten(F.transform(z, lambda p: F.slice(all_lines, p["s"] + 1, p["e"] - p["s"]))), "\n"))
 
-    removed = F.coalesce(F.aggregate("__gone", F.lit(0), lambda n, r: n + r["z"] - r["a"]), F.lit(0)).cast("long")
+    removed = F.coalesce(F.aggregate(gone, F.lit(0), lambda n, r: n + r["z"] - r["a"]), F.lit(0)).cast("long")
     return (
         joined.withColumn("__n_lines", F.coalesce(F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)), F.lit(0)).cast("long"))
         .withColumn("__n_removed", removed)
-        .withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(let(lines, lambda ls: kept(ls, F.col("__gone")))))
-        .drop("__k", "__t", "__d", "__th", "__gone")
+        .withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(let(lines, lambda ls: kept(ls, F.col(gone)))))
+        .drop(d, th, gone)
     )

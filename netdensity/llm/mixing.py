@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netdensity.llm.common import word_count
+from netdensity.llm.common import free, word_count
 from netdensity.session import materialize
 
 RANGE_BITS = 48
@@ -100,12 +100,14 @@ def plan(docs: DataFrame, weights=(3, 1, 2), budget=1.5, max_epochs=2.0, seed="m
 
 
 def mix(docs: DataFrame, seed="mix-1", doc_id="doc_id", text="text", source="source", **how) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies (times the mix takes the row)."""
+    """``docs`` with __size, __source_size, __target and __copies (times the mix takes the row); columns of these names are replaced."""
     _, limits = plan(docs, seed=seed, doc_id=doc_id, text=text, source=source, **how)
-    limits = limits.select(F.col("key").alias("__key"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("limit").alias("__limit"))
-    keyed = docs.withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))).withColumn("__size", word_count(F.col(text))).withColumn("__h", seeded_hash(F.col(doc_id), F.col(text), seed))
-    out = keyed.join(limits, "__key").withColumn("__copies", F.col("__whole") + (F.col("__h") <= F.col("__limit")).cast("long"))
-    return out.drop("__key", "__h", "__whole", "__limit")
+    key, h, whole, limit = free(docs, "key", "h", "whole", "limit")
+    keyed = docs.drop("__source_size", "__target").withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
+    keyed = keyed.withColumn("__size", word_count(F.col(text))).withColumn(h, seeded_hash(F.col(doc_id), F.col(text), seed))
+    limits = limits.select(F.col("key").alias(key), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias(whole), F.col("limit").alias(limit))
+    out = keyed.join(limits, key).withColumn("__copies", F.col(whole) + (F.col(h) <= F.col(limit)).cast("long"))
+    return out.drop(key, h, whole, limit)
 
 
 def repeat(docs: DataFrame, **how) -> DataFrame:

@@ -14,7 +14,8 @@ no state beyond a document. Repeated windows are found by sorting the document's
 window hashes, so the work grows as n log n with its length.
 
 Defined results: a null text counts as empty; a document without words has counts of 0 and fails
-the base rules; repeated rows are judged alike; an empty table gives no rows; other columns pass.
+the base rules; repeated rows are judged alike; a very long text is judged whole; an empty table
+gives no rows; other columns, whatever their names, pass, but for __q, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netdensity.llm.common import BLANKS, WORD, let, without, words_of
+from netdensity.llm.common import BLANKS, WORD, free, let, without, words_of
 
 SYMBOLS = "#*$%&|<>"
 MAX_SYMBOLS = 0.08
@@ -91,8 +92,9 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             )).alias("c"),
         )
 
+    (own,) = free(docs, "m")
     measured = docs.withColumn(
-        "__m",
+        own,
         F.struct(
             let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
             F.char_length(without(t, BLANKS)).cast("long").alias("word_chars"),
@@ -100,7 +102,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             let(lines, of_lines).alias("l"),
         ),
     )
-    m = F.col("__m")
+    m = F.col(own)
     n, rep = m["w"]["n_words"], m["w"]["n_repeat_words"]
     failed = (n < MIN_WORDS) | (100 * rep > 50 * n)
     lost = m["l"]["c"]["lost"]
@@ -110,4 +112,4 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["l"]["n_dup_lines"].alias("n_dup_lines"), rep.alias("n_repeat_words"),
             failed.alias("base_failed"), lost.alias("lost_chars"), (~failed & (lost <= MAX_LOST * m["word_chars"])).alias("kept"), m["l"]["c"]["clean"].alias("clean"),
         ),
-    ).drop("__m")
+    ).drop(own)

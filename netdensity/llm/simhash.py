@@ -10,12 +10,13 @@ first list that its equal bytes name, and it is verified by its differing bits.
 Equal fingerprints are one entry, so a text copied any number of times costs one. Within a list only
 a spanning set of the verified links leaves the task: lists of up to PAIRED entries are compared
 pairwise in numpy; longer ones, up to HELD, meet through the values within two bit flips of each
-entry (two values differ in at most four bits exactly if they share one), in time linear in the list; a list
+entry (two values differ in at most four bits exactly if they share one; for fewer bits, half as many flips), in time linear in the list; a list
 beyond HELD is not held at all, and its flips are grouped by Spark. No entry is left out in any case.
 
 Defined results: a null or blank text has fingerprint zero, which links like any other; fewer
 than four words give one shingle; null doc_ids take part but never name a component; a component
-of null ids only has a null id; repeated rows each get a row; an empty table gives no rows; other columns are ignored.
+of null ids only has a null id; repeated rows each get a row; a very long text is
+hashed whole, 65,536 shingles at a time; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ HELD = 20_000
 SETS = list(combinations(range(8), 4))
 #: For each mask of equal bytes, the first set that it holds, or -1.
 FIRST = np.array([next((k for k, s in enumerate(SETS) if all(m >> p & 1 for p in s)), -1) for m in range(256)], np.int16)
-#: Flips of up to two of 32 bits.
-FLIPS = np.array([0, *(1 << i for i in range(32)), *(1 << i | 1 << j for i, j in combinations(range(32), 2))], np.uint32)
+#: Flips of up to 0, 1 and 2 of 32 bits: two values differ in at most 0, 2 or 4 bits exactly if they share a flip.
+FLIPS = [np.array([sum(1 << i for i in c) for k in range(n + 1) for c in combinations(range(32), k)], np.uint32) for n in range(3)]
 POSTS = "k long, v long, fp long"
 
 
@@ -109,9 +110,10 @@ def links_of(which: int, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.nda
         ok = FIRST[equal_mask(x)] == which
         label = spanning(n, i[ok], j[ok])
     else:
-        v = (rest_of(fps, which)[:, None] ^ FLIPS[None, :]).ravel()
+        flips = FLIPS[bits // 2]
+        v = (rest_of(fps, which)[:, None] ^ flips[None, :]).ravel()
         _, v = np.unique(v, return_inverse=True)
-        node = np.repeat(np.arange(n), len(FLIPS))
+        node = np.repeat(np.arange(n), len(flips))
         label = np.arange(n)
         while True:
             least = np.full(v.max() + 1, n)
@@ -134,8 +136,8 @@ def posts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
     def flips(k: int, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(fps), 256):
             part = fps[a : a + 256]
-            v = rest_of(part, k >> 32)[:, None] ^ FLIPS[None, :]
-            yield record(pa.array(np.full(v.size, k)), v.ravel(), np.repeat(part, len(FLIPS)))
+            v = rest_of(part, k >> 32)[:, None] ^ FLIPS[bits // 2][None, :]
+            yield record(pa.array(np.full(v.size, k)), v.ravel(), np.repeat(part, v.shape[1]))
 
     held_k, held, over = None, np.zeros(0, np.uint64), False
     for b in batches:
@@ -175,9 +177,9 @@ def posts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
 
 def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) that connect what distinct fingerprints (column fp) within ``bits`` connect; bits is 4 at most."""
-    if not 0 <= bits <= BITS:
-        raise ValueError("the index guarantees matches for up to four differing bits")
+    """Links (a, b) that connect what distinct fingerprints (column fp) within ``bits`` connect; bits is 0, 2 or 4."""
+    if bits not in (0, 2, BITS):
+        raise ValueError("the index guarantees matches for up to four differing bits, and long lists meet through flips of half as many")
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255).cast("long")) for p in range(8)]
     keys = []
     for k, s in enumerate(SETS):

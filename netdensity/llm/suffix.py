@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from netdensity.session import materialize
 
 WIDTH = 200
+#: Of shorter strings the cover does not order all.
+LEAST_WIDTH = 31
 #: Bytes of text that are hashed at once, suffixes in a bucket, bytes of a packed block.
 PIECE, BUCKET, BLOCK_BYTES = 1 << 21, 1 << 16, 8 << 20
 LONGEST = 60_000
@@ -421,6 +423,8 @@ def union_of(spans: list[bytes]) -> np.ndarray:
 
 def dedup_substrings(docs: DataFrame, doc_id="doc_id", text="text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes), for every row."""
+    if width < LEAST_WIDTH:
+        raise ValueError(f"the suffix sort needs strings of {LEAST_WIDTH} bytes or more")
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), F.octet_length(t).alias("n"), t.alias("t"))

@@ -440,3 +440,57 @@ def test_prefix_sums_over_chunks(spark):
     df = spark.createDataFrame([(v,), ([],)], "v array<long>")
     got = [r.p for r in df.select(pii.prefix(F.col("v")).alias("p")).collect()]
     assert got == [[sum(v[:i]) for i in range(1000)], []]
+
+
+# ---- names and parameters
+
+
+def test_clashing_names(spark):
+    names = ["__d", "__th", "__gone", "__k", "__m", "__key", "__h", "__whole", "__limit", "__q", "__head", "a.b"]
+    rows = [(1, "one two three four five\nx", "s", *range(12)), (2, "one two three four five\ny", None, *range(12)), (None, None, "s", *range(12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    keep = [F.col(f"`{n}`") for n in names if n != "__q"]
+    for out in (lines.dedup_lines(df), mixing.mix(df), quality.judge(df)):
+        assert [tuple(r) for r in out.select(*keep).collect()] == [tuple(i for i, n in enumerate(names) if n != "__q")] * 3
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: rows[0][1], 2: "y", None: None}
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["__d", "__q", "__head", "__key", "others", "a.b", "th"]
+    prose = lambda k: "\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(12)) + "." for i in range(8))
+    rows = [(5, prose(1), "s"), (5, prose(2), None), (None, prose(3), "s"), (7, prose(4), "t"), (7, prose(4), "t")]
+    df = spark.createDataFrame([(*r, *range(7)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == df.columns and docs.dtypes == df.dtypes
+        assert {tuple(r)[3:] for r in docs.collect()} == {tuple(range(7))}
+    near = corpus_pipeline.near_stage(spark, df, "")
+    assert sorted((r.doc_id or 0, r.text) for r in near.collect()) == sorted((d or 0, t) for d, t in {r[:2] for r in rows})
+
+
+@pytest.mark.parametrize("bits", [0, 2, 4])
+def test_links_of_long_lists_keep_to_their_bits(bits):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**32, 120, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *[base[:60] ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a, b in ((1, 7), (9, 30), (3, 4))], *[base[60:] ^ np.uint64(m) for m in (0b1111, 1 << 20, 0b10101 << 9)]]))
+    label = list(range(len(fps)))
+    for _ in fps:
+        for i in range(len(fps)):
+            for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= bits).tolist():
+                label[i] = label[j] = min(label[i], label[j])
+        if all(label[label[i]] == label[i] for i in range(len(fps))):
+            break
+    which = simhash.SETS.index((4, 5, 6, 7))
+    simhash.PAIRED, was = 16, simhash.PAIRED
+    try:
+        a, b = simhash.links_of(which, fps, bits)
+    finally:
+        simhash.PAIRED = was
+    got = dict(zip(a.tolist(), b.tolist()))
+    assert [got.get(x, x) for x in fps.tolist()] == [int(fps[label[i]]) for i in range(len(fps))]
+    with pytest.raises(ValueError):
+        simhash.near_links(None, bits=1)
+    with pytest.raises(ValueError):
+        suffix.dedup_substrings(None, width=30)
