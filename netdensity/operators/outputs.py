@@ -89,3 +89,16 @@ def dataset_id(parts: DataFrame) -> str:
     """16 hex digits over the checksums of all parts in order; the driver holds one digest."""
     n = parts.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "part", "sha256"))), ","), 256).alias("h"))
     return n.first()["h"][:16]
+
+
+def write_output(path: str, features: dict[str, DataFrame], packed: dict[str, DataFrame], metadata: dict) -> None:
+    """A whole result under one folder: each collection of ``features`` as lines of GeoJSON, each table of ``packed`` records as Parquet,
+    and last the metadata, a JSON document with the number of each, so that a folder without it is unfinished."""
+    spark = next(iter((features | packed).values())).sparkSession
+    for name, df in features.items():
+        df.select("feature").write.text(f"{path}/{name}.geojsonl")
+    for name, df in packed.items():
+        df.write.parquet(f"{path}/{name}.bin")
+    counts = {name: spark.read.text(f"{path}/{name}.geojsonl").count() for name in features}
+    counts |= {name: int(spark.read.parquet(f"{path}/{name}.bin").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]) for name in packed}
+    spark.createDataFrame([(json.dumps(metadata | {"counts": counts}, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/metadata.json")

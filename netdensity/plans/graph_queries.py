@@ -402,7 +402,10 @@ far AS (SELECT s.e, i, abs(middle - along) AS far FROM s JOIN own ON own.e = s.e
 credit AS (SELECT e, i, sum(exp(-far / 120.0::DOUBLE)) AS score FROM far WHERE far <= 300 GROUP BY 1, 2)"""
 
 
-@BOOK.add(fx.sql(f"{_WALK} SELECT s.e, CAST(s.i AS INTEGER) AS i, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN credit ON credit.e = s.e AND credit.i = s.i", "edge", "poi"))
+STREETS_SQL = fx.sql(f"{_WALK} SELECT s.e, CAST(s.i AS INTEGER) AS i, round(coalesce(score, 0), 6) AS score FROM s LEFT JOIN credit ON credit.e = s.e AND credit.i = s.i", "edge", "poi")
+
+
+@BOOK.add(STREETS_SQL)
 def score_streets(spark, d):
     return streets_of(spark, d).select("e", "i", F.round("score", 6).alias("score"))
 

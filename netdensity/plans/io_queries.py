@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from netdensity.functions import geo, predicates
-from netdensity.operators import outputs, regional, tiles
+from netdensity.operators import outputs, provenance, regional, tiles
 from netdensity.plans import fixtures as fx
 from netdensity.plans.book import Book
-from netdensity.plans.graph_queries import edge_lines, streets_of
+from netdensity.plans.graph_queries import STREETS_SQL, edge_lines, streets_of
 from netdensity.plans.raster_queries import rendered
 from netdensity.plans.scalar_queries import DELTA, INVERSE
 from netdensity.session import checkpoint_dir, table
@@ -191,7 +191,7 @@ def sink_graph_geojson(spark, d):
     return f.select("e", c[0][0].alias("x1"), c[1][1].alias("y2"), F.col("f.properties.weight").alias("weight"))
 
 
-@BOOK.add()
+@BOOK.add(STREETS_SQL)
 def sink_streets_geojson(spark, d):
     s = streets_of(spark, d).select("e", "i", F.floor(F.col("e") / 1000000).cast("double").alias("x1"), F.lit(0.0).alias("y1"), (F.col("e") % 1000000).cast("double").alias("x2"), F.lit(1.0).alias("y2"), "score")
     f = outputs.segment_features(s.withColumn("shown", geo.display(F.col("score")))).withColumn("f", F.from_json("feature", LINE))
@@ -320,3 +320,84 @@ def stream_jobs(spark, d):
     jobs.available(spark, f"{path}/in", "l_suppkey long, l_quantity double", work, f"{path}/out", f"{path}/state")
     jobs.available(spark, f"{path}/in", "l_suppkey long, l_quantity double", work, f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").groupBy(F.col("l_suppkey").alias("job")).agg(F.sum("n").alias("cells"), F.round(F.sum("q"), 3).alias("total"))
+
+
+@BOOK.add(fx.sql("SELECT 'cells' AS file, count(*) AS n, count(*) AS counted FROM grid UNION ALL SELECT 'graph', count(*), count(*) FROM edge1 UNION ALL SELECT 'pois', count(*), count(*) FROM tagged WHERE shop IS NOT NULL UNION ALL SELECT 'scores', count(*), count(*) FROM grid", "grid", "edge", "tagged"))
+def sink_write_output(spark, d):
+    """A whole result, written and read back: what each file holds, and what the metadata say that it holds."""
+    path = fresh(spark, "output")
+    own = cells(spark, d).withColumn("x", F.col("ci") * 25.0 + 200_000).withColumn("y", F.col("ri") * 25.0 + 4_500_000).withColumn("shown", geo.display(F.col("score")))
+    pois = fx.tagged(spark, d).withColumn("lon", F.col("o") / 1000.0).withColumn("lat", F.col("l") / 10.0)
+    features = {"cells": outputs.cell_features(own), "pois": outputs.poi_features(pois), "graph": outputs.edge_features(edge_lines(spark, d).withColumn("weight", F.lit(50.0)))}
+    outputs.write_output(path, features, {"scores": outputs.packed_rows(own, F.floor(F.col("ri") / 16), ["ri", "ci"], ("score",))}, {"crs": "EPSG:4326"})
+    counted = spark.read.text(f"{path}/metadata.json").select(F.explode(F.from_json(F.get_json_object("value", "$.counts"), "map<string,long>")).alias("file", "counted"))
+    read = None
+    for name in features:
+        kind = F.get_json_object("value", "$.type") == "Feature"
+        one = spark.read.text(f"{path}/{name}.geojsonl").where(kind).agg(F.count("*").alias("n")).select(F.lit(name).alias("file"), "n")
+        read = one if read is None else read.union(one)
+    scores = outputs.unpacked_rows(spark.read.parquet(f"{path}/scores.bin"), ("score",)).agg(F.count("*").alias("n")).select(F.lit("scores").alias("file"), "n")
+    return read.union(scores).join(counted, "file").select("file", "n", "counted")
+
+
+# ---- repairs
+
+_ACTIONS = (*provenance.ROW_CHANGES, *provenance.SHAPE_CHANGES, "read")
+_TABLES = ("edges", "member_bounds", "metadata", "vertices")
+
+
+@BOOK.add("SELECT a AS action, t AS \"table\", CASE WHEN a IN ('insert', 'update', 'delete') THEN t IN ('member_bounds', 'metadata') ELSE a = 'read' END AS allowed FROM (SELECT unnest([" + ", ".join(f"'{a}'" for a in _ACTIONS) + "]) AS a) CROSS JOIN (SELECT unnest([" + ", ".join(f"'{t}'" for t in _TABLES) + "]) AS t)")
+def prov_authorizer(spark, d):
+    """What a repair may do to which table."""
+    asked = spark.createDataFrame([(a, t) for a in _ACTIONS for t in _TABLES], "action string, table string")
+    return asked.select("action", "table", provenance.allowed(F.col("action"), F.col("table")).alias("allowed"))
+
+
+def bounds_of(spark, d, known: bool):
+    """Bounds of the customers that are known members, or of those that are not."""
+    test = "c_custkey % 35 <> 0" if known else "c_custkey % 35 = 0"
+    return table(spark, d, "customer").where(test).select(F.concat(F.lit("c"), F.col("c_custkey")).alias("k"), (F.col("c_custkey") % 180).cast("double").alias("w"))
+
+
+def unresolved_of(rel, bounds):
+    """(id, ref) of relations' members that neither are relations nor have bounds."""
+    known = rel.select(F.col("rid").alias("k")).union(bounds.select("k"))
+    return rel.join(known, rel.ref == known.k, "left_anti").select(F.col("rid").alias("id"), "ref")
+
+
+@BOOK.add(fx.sql("SELECT 'c' || c_custkey AS k, c_custkey % 35 = 0 AS added, (SELECT count(*) FROM relation) AS edges, (SELECT count(*) FROM relation WHERE ref NOT IN (SELECT rid FROM relation) AND ref NOT LIKE 'c%') AS unresolved FROM customer WHERE c_custkey % 35 <> 0 OR 'c' || c_custkey IN (SELECT ref FROM relation)", "relation"))
+def prov_repair(spark, d):
+    """Bounds after a repair, those that it added, the untouched relations, and what is left unresolved."""
+    rel, store = fx.relation(spark, d), provenance.Store(spark, fresh(spark, "store"))
+    before = store.create({"edges": rel, "member_bounds": bounds_of(spark, d, True), "metadata": spark.createDataFrame([("complete", "false")], "k string, value string")})
+    lost = unresolved_of(rel, store.table(before, "member_bounds")).select(F.col("ref").alias("k")).distinct()
+    found = bounds_of(spark, d, False).join(lost, "k", "left_semi")
+    after = store.repair(before, {"member_bounds": store.table(before, "member_bounds").union(found), "metadata": spark.createDataFrame([("complete", "true")], "k string, value string")})
+    bounds, edges = store.table(after, "member_bounds"), store.table(after, "edges")
+    old = store.table(before, "member_bounds").select("k", F.lit(False).alias("old"))
+    left = unresolved_of(edges, bounds).agg(F.count("*").alias("unresolved"))
+    return bounds.select("k").join(old, "k", "left").select("k", F.coalesce("old", F.lit(True)).alias("added")).crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges")))).crossJoin(F.broadcast(left))
+
+
+_CASES = {"intact": (), "another extract": ("extract",), "another import": ("identity",), "another snapshot": ("snapshot",), "a changed report": ("report", "complete"), "a root too few": ("report", "roots")}
+
+
+@BOOK.add("SELECT * FROM (VALUES " + ", ".join(f"('{case}', '{check}', {str(check not in failed).lower()})" for case, failed in _CASES.items() for check in ("complete", "extract", "identity", "report", "roots", "snapshot")) + ") AS t(\"case\", \"check\", ok)")
+def prov_relation_proof(spark, d):
+    """The checks of a completion's proof, as it is and after each kind of tampering."""
+    extract = fx.relation(spark, d)
+    unresolved = unresolved_of(extract, bounds_of(spark, d, True)).select("id").distinct()
+    report = unresolved.withColumn("complete", F.lit(True))
+    proof = {"report": provenance.content(report), "extract": provenance.content(extract), "identity": "i", "snapshot": "s"}
+    least = report.agg(F.min("id").alias("m"))
+    marked = report.crossJoin(F.broadcast(least))
+    runs = {
+        "intact": (report, extract, "i", "s"), "another extract": (report, extract.union(spark.createDataFrame([("r9", "x")], "rid string, ref string")), "i", "s"),
+        "another import": (report, extract, "j", "s"), "another snapshot": (report, extract, "i", "t"),
+        "a changed report": (marked.select("id", (F.col("id") != F.col("m")).alias("complete")), extract, "i", "s"), "a root too few": (marked.where("id <> m").select("id", "complete"), extract, "i", "s"),
+    }
+    out = None
+    for case, (r, e, i, s) in runs.items():
+        one = provenance.proof_checks(proof, r, e, unresolved, i, s).select(F.lit(case).alias("case"), "check", "ok")
+        out = one if out is None else out.union(one)
+    return out
