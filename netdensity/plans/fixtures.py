@@ -71,9 +71,9 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation(spark: SparkSession, d: str) -> DataFrame:
-    """Nested relations: regions hold nations, nations hold every seventh customer; and the other way up by type."""
+    """Nested relations: regions hold nations, nations hold customers."""
     nations = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("rid"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("ref"))
-    people = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("rid"), F.concat(F.lit("c"), F.col("c_custkey")).alias("ref"))
+    people = table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("rid"), F.concat(F.lit("c"), F.col("c_custkey")).alias("ref"))
     return nations.union(people)
 
 
@@ -115,7 +115,7 @@ VIEWS = {
     "way": "SELECT id // 100 AS way_id, list(id ORDER BY id) AS refs FROM node GROUP BY 1",
     "place": "SELECT c_custkey AS id, -72.0::DOUBLE + c_custkey % 1000 * 0.002::DOUBLE AS lon, 41.5::DOUBLE + c_custkey % 37 * 0.01::DOUBLE + c_custkey % 7 * 0.001::DOUBLE AS lat FROM customer",
     "tagged": "SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS l, list_extract(['footway', 'residential', 'motorway', 'path', 'service', 'steps', 'primary'], l_linenumber % 7 + 1) AS highway, CASE CAST(l_quantity AS INTEGER) % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'designated' END AS foot, CASE CAST(l_quantity AS INTEGER) % 3 WHEN 0 THEN 'private' WHEN 1 THEN 'no' END AS access, CASE CAST(l_quantity AS INTEGER) % 4 WHEN 0 THEN 'bakery' WHEN 1 THEN 'vacant' END AS shop FROM lineitem",
-    "relation": "SELECT 'r' || n_regionkey AS rid, 'n' || n_nationkey AS ref FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey % 7 = 0",
+    "relation": "SELECT 'r' || n_regionkey AS rid, 'n' || n_nationkey AS ref FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer",
     "tile_key": "SELECT DISTINCT 14::BIGINT AS z, 4800 + o_orderkey % 97 AS x, 6000 + (o_orderkey // 97) % 61 AS y FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderstatus <> 'P'",
     "raster": "WITH c AS (SELECT o_orderkey // 120 AS row, o_orderkey % 120 AS col, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderkey % 50 / 8.0::DOUBLE END AS score FROM orders) SELECT 0 AS region, row, col, score FROM c WHERE col < 80 UNION ALL SELECT 1, row, col, score + 0.5 FROM c WHERE col >= 40",
     "ring": "SELECT * FROM (VALUES " + ", ".join(f"({p}, {r}, {s}, {a}.0::DOUBLE, {b}.0::DOUBLE, {c}.0::DOUBLE, {e}.0::DOUBLE)" for p, r, s, a, b, c, e in _CORNERS) + ") AS t(poly, ring, seq, x1, y1, x2, y2)",

@@ -76,9 +76,9 @@ def min_job_limit(spark, d):
     return raster.jobs(lattice(spark, d)).select("cx", "cy").orderBy("cx", "cy").limit(3)
 
 
-@BOOK.add(fx.sql(_JOBS + ", named AS (SELECT k, CAST(floor(x / 2000) AS BIGINT) AS cx, CAST(floor(y / 2000) AS BIGINT) AS cy FROM poi WHERE k % 40 = 0) SELECT named.k, cx, cy, j.cells IS NOT NULL AS planned FROM named LEFT JOIN j USING (cx, cy)", "poi"))
+@BOOK.add(fx.sql(_JOBS + ", named AS (SELECT k, CAST(floor(x / 2000) AS BIGINT) AS cx, CAST(floor(y / 2000) AS BIGINT) AS cy FROM poi) SELECT named.k, cx, cy, j.cells IS NOT NULL AS planned FROM named LEFT JOIN j USING (cx, cy)", "poi"))
 def min_sample_jobs(spark, d):
-    named = fx.poi(spark, d).where("k % 40 = 0").select("k", F.floor(F.col("x") / 2000).alias("cx"), F.floor(F.col("y") / 2000).alias("cy"))
+    named = fx.poi(spark, d).select("k", F.floor(F.col("x") / 2000).alias("cx"), F.floor(F.col("y") / 2000).alias("cy"))
     return named.join(raster.jobs(lattice(spark, d)).select("cx", "cy", "cells"), ["cx", "cy"], "left").select("k", "cx", "cy", F.col("cells").isNotNull().alias("planned"))
 
 
