@@ -18,7 +18,7 @@ SCORED = "qid long, score double"
 
 def euclid(queries: DataFrame, pois: DataFrame, key: list[str], radius: float = geo.RADIUS, kernel=geo.kernel_exp) -> DataFrame:
     """(key.., score): kernel sum over all destinations within a straight-line radius; 0 where there are none."""
-    pairs = spatial.within(queries.select(*key, "x", "y"), pois.select(F.col("x").alias("rx"), F.col("y").alias("ry")), radius)
+    pairs = spatial.within(pois.select("x", "y"), queries.select(*key, F.col("x").alias("rx"), F.col("y").alias("ry")), radius)
     sums = pairs.groupBy(*key).agg(F.sum(kernel(F.col("d"))).alias("score"))
     return queries.select(*key).join(sums, key, "left").select(*key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -35,11 +35,15 @@ def network(q_snap: DataFrame, p_snap: DataFrame, pairs: DataFrame, key: list[st
 
 
 def distinct_targets(queries: DataFrame, q_node: DataFrame, p_node: DataFrame, pairs: DataFrame, key: list[str], radius: float, kernel=geo.kernel_exp) -> DataFrame:
-    """The older score: from the query's node to the destinations' nodes, each node once; candidates are the
-    destinations' nodes within a straight-line radius of the raw query point; connectors cost nothing; 0 if nothing is reached."""
-    targets = p_node.select(F.col("id").alias("t"), F.col("x").alias("rx"), F.col("y").alias("ry")).distinct()
-    candidates = spatial.within(queries.select(*key, "x", "y"), targets, radius).select(*key, "t").distinct()
-    routed = candidates.join(q_node.select(*key, "node"), key).join(pairs.select(F.col("src").alias("t"), "node", F.col("d").alias("far")), ["t", "node"]).where(F.col("far") <= radius)
+    """The older score: from the query's node to the destinations' nodes, each node once; a destination's node counts
+    where it is within a straight-line radius of the raw query point; connectors cost nothing; 0 if nothing is reached.
+
+    Paths are bounded already, so they lead: the straight line is only a test on them, and no pair without a path is made."""
+    targets = p_node.select(F.col("id").alias("src"), F.col("x").alias("rx"), F.col("y").alias("ry")).dropDuplicates(["src"])
+    paths = pairs.where(F.col("d") <= radius).join(targets, "src").select("node", F.col("d").alias("far"), "rx", "ry")
+    asked = queries.select(*key, "x", "y").join(q_node.select(*key, "node"), key)
+    straight = F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2))
+    routed = asked.join(paths, "node").where(straight <= radius)
     sums = routed.groupBy(*key).agg(F.sum(kernel(F.col("far"))).alias("score"))
     return queries.select(*key).join(sums, key, "left").select(*key, F.coalesce("score", F.lit(0.0)).alias("score"))
 

@@ -18,7 +18,9 @@ def cell(c: Column, width: float) -> Column:
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
-    """Pairs at most ``radius`` apart, with their distance ``d``. ``right`` has its coordinates as rx, ry."""
+    """Pairs at most ``radius`` apart, with their distance ``d``. ``right`` has its coordinates as rx, ry.
+
+    Each row of ``left`` goes to nine cells, so the smaller side belongs there."""
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     spread = left.withColumn("__cx", F.explode(F.transform(around, lambda k: cell(F.col(x), radius) + k))).withColumn("__cy", F.explode(F.transform(around, lambda k: cell(F.col(y), radius) + k)))
     placed = right.withColumn("__cx", cell(F.col(rx), radius)).withColumn("__cy", cell(F.col(ry), radius))

@@ -380,7 +380,7 @@ CONFIGS = (("exp120", {"type": "exponential", "lambda_m": 120.0}), ("exp300", {"
 def score_compare(spark, d):
     """Several kernels over one distance join, on one shared scale."""
     q = fx.grid(spark, d)
-    pairs = spatial.within(q, fx.poi(spark, d).select(F.col("x").alias("rx"), F.col("y").alias("ry")), 400.0)
+    pairs = spatial.within(fx.poi(spark, d).select("x", "y"), q.select("ci", "ri", F.col("x").alias("rx"), F.col("y").alias("ry")), 400.0)
     sums = pairs.groupBy("ci", "ri").agg(*[F.sum(geo.kernel(spec)(F.col("d"))).alias(name) for name, spec in CONFIGS])
     each = q.select("ci", "ri").join(sums, ["ci", "ri"], "left").select("ci", "ri", F.explode(F.array(*[F.struct(F.lit(name).alias("config"), F.coalesce(name, F.lit(0.0)).alias("score")) for name, _ in CONFIGS])).alias("c")).select("ci", "ri", "c.*")
     v, low, high = F.log1p("score"), F.col("__low"), F.col("__high")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netdensity.operators import score
-from netdensity.operators.order import running
+from netdensity.operators.order import quantiles, running
 from netdensity.plans import fixtures as fx
 from netdensity.plans.book import Book
-from netdensity.session import table
+from netdensity.session import materialize, table
 
 BOOK = Book()
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
@@ -234,13 +234,17 @@ def agg_nonzero(spark, d):
 
 @BOOK.add(fx.sql("SELECT round(sum(seconds), 6) AS total, round(quantile_cont(seconds, 0.5), 6) AS median, round(quantile_cont(seconds, 0.95), 6) AS p95, max(seconds) AS longest, count(*) AS jobs FROM job", "job"))
 def agg_job_summary(spark, d):
-    return fx.job(spark, d).agg(F.round(F.sum("seconds"), 6).alias("total"), F.round(F.percentile("seconds", 0.5), 6).alias("median"), F.round(F.percentile("seconds", 0.95), 6).alias("p95"), F.max("seconds").alias("longest"), F.count("*").alias("jobs"))
+    jobs = materialize(fx.job(spark, d))
+    places = quantiles(jobs, [], "seconds", {"median": 0.5, "p95": 0.95})
+    total = jobs.agg(F.round(F.sum("seconds"), 6).alias("total"), F.max("seconds").alias("longest"), F.count("*").alias("jobs"))
+    return total.crossJoin(F.broadcast(places)).select("total", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "longest", "jobs")
 
 
 @BOOK.add("SELECT l_linenumber AS z, count(*) AS files, CAST(sum(CAST(l_extendedprice AS BIGINT)) AS BIGINT) AS bytes, min(l_extendedprice) AS smallest, max(l_extendedprice) AS largest, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM (SELECT l_linenumber, floor(l_extendedprice) AS l_extendedprice FROM lineitem) GROUP BY 1")
 def agg_zoom_stats(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("z"), F.floor("l_extendedprice").cast("double").alias("b"))
-    return x.groupBy("z").agg(F.count("*").alias("files"), F.sum(F.col("b").cast("long")).alias("bytes"), F.min("b").alias("smallest"), F.max("b").alias("largest"), F.round(F.percentile("b", 0.5), 6).alias("median"), F.round(F.percentile("b", 0.95), 6).alias("p95"))
+    places = quantiles(x, ["z"], "b", {"median": 0.5, "p95": 0.95}).select("z", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
+    return x.groupBy("z").agg(F.count("*").alias("files"), F.sum(F.col("b").cast("long")).alias("bytes"), F.min("b").alias("smallest"), F.max("b").alias("largest")).join(places, "z", "left")
 
 
 @BOOK.add("SELECT ext, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT DISTINCT l_returnflag AS ext, l_orderkey AS dev, l_linenumber AS ino, CAST(l_quantity AS BIGINT) AS bytes FROM lineitem) GROUP BY ext")
