@@ -132,11 +132,6 @@ def src_blocks(spark, d):
     return fx.node(spark, d).groupBy(F.floor(F.col("id") / 500).alias("block")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
 
 
-@BOOK.add(fx.sql(BLOCKS_SQL, "node"))
-def src_pbf_index(spark, d):
-    return src_blocks(spark, d)
-
-
 @BOOK.add(fx.sql("SELECT DISTINCT way_id FROM (SELECT way_id, unnest(refs) AS id FROM way) WHERE id IN (SELECT p_partkey * 7 FROM part)", "way"))
 def join_way_refs(spark, d):
     wanted = table(spark, d, "part").select((F.col("p_partkey") * 7).alias("id"))

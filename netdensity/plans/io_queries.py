@@ -9,10 +9,10 @@ from netdensity.functions import geo, predicates
 from netdensity.operators import outputs, provenance, regional, tiles
 from netdensity.plans import fixtures as fx
 from netdensity.plans.book import Book
-from netdensity.plans.graph_queries import STREETS_SQL, edge_lines, streets_of
+from netdensity.plans.graph_queries import BLOCKS_SQL, STREETS_SQL, edge_lines, streets_of
 from netdensity.plans.raster_queries import rendered
 from netdensity.plans.scalar_queries import DELTA, INVERSE
-from netdensity.session import checkpoint_dir, table
+from netdensity.session import checkpoint_dir, materialize, table
 from netdensity.sources import elements, pbf
 
 BOOK = Book()
@@ -44,21 +44,6 @@ def src_overpass_json(spark, d):
     return elements.elements(documents(spark, d)).select("type", "id")
 
 
-@BOOK.add()
-def src_pbf_v1(spark, d):
-    """Walk pairs of the parsed documents, without those that touch a blocked node."""
-    nodes, pairs = elements.walk_pairs(elements.elements(documents(spark, d)))
-    return pairs.select("way_id", "a", "b")
-
-
-@BOOK.add()
-def src_pbf_regional(spark, d):
-    """Destinations of the parsed documents by the rule of the tags, each with a point."""
-    rule = predicates.destination(predicates.in_map("tags"), {"shop": ["*"]}, {"shop": ["vacant"]}) & predicates.permitted(predicates.in_map("tags"))
-    p = elements.points(elements.elements(documents(spark, d)), rule)
-    return p.select("type", "id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
-
-
 # ---- PBF blocks
 
 
@@ -74,6 +59,49 @@ def blobs(spark, d):
     return n.groupBy("block").applyInPandas(encode, "block long, blob binary")
 
 
+WAYS = ({"highway": "footway"}, {"highway": "motorway"}, {"highway": "residential"}, {"highway": "steps"}, {"highway": "footway"}, {"highway": "motorway", "foot": "yes"}, {"highway": "residential"}, {"highway": "steps"})
+
+
+def tagged_blobs(spark, d):
+    """The lattice's blobs with tags, out of two sources, of which the second repeats every third blob."""
+    n = fx.node(spark, d).select(F.floor(F.col("id") / 500).alias("block"), "id", (F.col("x") * 100).cast("long").alias("x"), (F.col("y") * 100).cast("long").alias("y"))
+
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = list(pdf.sort_values("id")[["id", "x", "y"]].itertuples(index=False, name=None))
+        ways = [(int(w), [i for i, _, _ in nodes if i // 100 == w]) for w in sorted({i // 100 for i, _, _ in nodes})]
+        tags = {("way", w): WAYS[w % 8] for w, _ in ways}
+        for i, _, _ in nodes:
+            shop = {0: {"shop": "bakery"}, 1: {"shop": "vacant"}}.get(i % 11, {})
+            tags["node", i] = shop | ({"access": "no"} if i % 13 == 0 else {})
+        blob = pbf.encode_blob(nodes, ways, tags={k: v for k, v in tags.items() if v})
+        return pd.DataFrame([(key[0], source, blob) for source in ((0, 1) if key[0] % 3 == 0 else (0,))], columns=["block", "source", "blob"])
+
+    return n.groupBy("block").applyInPandas(encode, "block long, source int, blob binary")
+
+
+@BOOK.add(fx.sql("SELECT way_id, a, b FROM (SELECT way_id, refs[s] AS a, refs[s + 1] AS b FROM (SELECT way_id, refs, unnest(range(1, len(refs))) AS s FROM way)) WHERE way_id % 8 <> 1 AND a % 13 <> 0 AND b % 13 <> 0", "way"))
+def src_pbf_v1(spark, d):
+    """Walk pairs of the decoded blocks' ways, without those that touch a blocked node."""
+    rows = pbf.decode_blocks(tagged_blobs(spark, d).where("source = 0"))
+    return elements.walk_pairs(elements.from_blocks(rows))[1].select("way_id", "a", "b")
+
+
+@BOOK.add(fx.sql("SELECT 'node' AS type, id, round(x * 100 / 1e7, 7) AS lon, round(y * 100 / 1e7, 7) AS lat FROM node WHERE id % 11 = 0 AND id % 13 <> 0", "node"))
+def src_pbf_regional(spark, d):
+    """Destinations of two sources that overlap, imported, and imported again, by the rule of the tags, each with a point."""
+    path, blobs = fresh(spark, "import"), materialize(tagged_blobs(spark, d))
+    pbf.import_sources(blobs.where("source = 0"), path)
+    rule = predicates.destination(predicates.in_map("tags"), {"shop": ["*"]}, {"shop": ["vacant"]}) & predicates.permitted(predicates.in_map("tags"))
+    p = elements.points(elements.from_blocks(pbf.import_sources(blobs, path)), rule)
+    return p.select("type", "id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+@BOOK.add(fx.sql(BLOCKS_SQL, "node"))
+def src_pbf_index(spark, d):
+    """The blocks' ranges of node ids, from the decoded blobs."""
+    return pbf.block_index(blobs(spark, d)).where("kind = 'node'").select("block", "low", "high")
+
+
 @BOOK.add(fx.sql("SELECT id, CAST(x * 100 AS BIGINT) AS x, CAST(y * 100 AS BIGINT) AS y FROM node", "node"))
 def src_node_decode(spark, d):
     return pbf.decode_blocks(blobs(spark, d)).where("kind = 'node'").select("id", "x", "y")

@@ -23,13 +23,30 @@ def elements(documents: DataFrame, text: str = "text") -> DataFrame:
     return first.select("e.*")
 
 
+def from_blocks(rows: DataFrame) -> DataFrame:
+    """Elements of decoded blocks (kind, id, x, y, refs, tags): ways get their nodes' places, null where a node is missing.
+
+    Relations keep their tags only."""
+    place = F.struct((F.col("x") / 1e7).alias("lon"), (F.col("y") / 1e7).alias("lat"))
+    none = F.lit(None)
+    shape = ["type", "id", "lon", "lat", "nodes", "geometry", "center", "members", "tags"]
+    empty = {"center": none.cast(POINT), "members": none.cast(f"array<struct<role:string,geometry:array<{POINT}>>>")}
+    nodes = rows.where("kind = 'node'").select("id", place.alias("p"), "tags")
+    refs = rows.where("kind = 'way'").select("id", F.posexplode_outer("refs").alias("i", "ref"))
+    placed = refs.join(nodes.select(F.col("id").alias("ref"), "p"), "ref", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "ref", "p"))).alias("r"))
+    ways = placed.join(rows.where("kind = 'way'").select("id", "tags"), "id").select(F.lit("way").alias("type"), "id", none.cast("double").alias("lon"), none.cast("double").alias("lat"), F.col("r.ref").alias("nodes"), F.col("r.p").alias("geometry"), "tags").withColumns(empty)
+    lone = rows.where("kind <> 'way'").select(F.col("kind").alias("type"), "id", F.when(F.col("kind") == "node", place).alias("p"), "tags")
+    others = lone.select("type", "id", "p.lon", "p.lat", none.cast("array<long>").alias("nodes"), none.cast(f"array<{POINT}>").alias("geometry"), "tags").withColumns(empty)
+    return others.select(*shape).union(ways.select(*shape))
+
+
 def walk_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, lon, lat) and pairs (way_id, a, b) of walkable ways. A way whose geometry does not fit its references
     is left out, and pairs that touch a node on which walking is not permitted go, without a bridge over it."""
     tag = predicates.in_map("tags")
     empty = F.create_map().cast("map<string,string>")
     rows = rows.withColumn("tags", F.coalesce("tags", empty))
-    good = (F.size("nodes") == F.size("geometry")) & F.forall("geometry", lambda p: p.isNotNull())
+    good = (F.size("nodes") > 1) & (F.size("nodes") == F.size("geometry")) & F.forall("geometry", lambda p: p.isNotNull())
     ways = rows.where((F.col("type") == "way") & predicates.walking(tag) & F.coalesce(good, F.lit(False)))
     at = ways.select(F.explode(F.arrays_zip("nodes", "geometry")).alias("p")).select(F.col("p.nodes").alias("id"), "p.geometry.lon", "p.geometry.lat").dropDuplicates(["id"])
     pairs = ways.select(F.col("id").alias("way_id"), F.explode(F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.get("nodes", i).alias("a"), F.get("nodes", i + 1).alias("b")))).alias("p")).select("way_id", "p.*")

@@ -22,6 +22,46 @@ def test_pbf_file_round_trip(spark, tmp_path):
     assert df.where("kind = 'relation'").first().types == [1, 0]
 
 
+def blob_rows(spark, rows):
+    return spark.createDataFrame([(k, bytearray(b)) for k, b in rows], "block long, blob binary")
+
+
+def test_pbf_tags_round_trip():
+    tags = {("node", 2): {"shop": "bakery", "name": "Ü"}, ("way", 7): {"highway": "footway"}, ("relation", 8): {"type": "route"}}
+    blob = pbf.encode_blob([(1, 100, 200), (2, 300, 400), (3, 500, 600)], [(7, [1, 2]), (9, [])], [(8, [7], [1])], tags=tags)
+    got = list(pbf.decode_block(pbf.blob_bytes(blob)))
+    assert {(r[0], r[1]): r[6] for r in got} == {("node", 1): {}, ("node", 3): {}, ("way", 9): {}} | tags
+    assert {r[1]: r[4] for r in got if r[0] == "way"} == {7: [1, 2], 9: []}
+
+
+def test_ways_get_their_nodes_places(spark):
+    walk = {("way", k): {"highway": "footway"} for k in (7, 8, 9)}
+    blob = pbf.encode_blob([(1, 100, 200), (2, 300, 400), (4, 5, 6)], [(7, [2, 1, 2]), (8, [1, 3]), (9, [4])], tags=walk | {("node", 4): {"access": "no"}})
+    rows = elements.from_blocks(pbf.decode_blocks(blob_rows(spark, [(0, blob)])))
+    at, pairs = elements.walk_pairs(rows)
+    assert sorted((r.way_id, r.a, r.b) for r in pairs.collect()) == [(7, 1, 2), (7, 2, 1)]  # 8 lacks a node, 9 has one only
+    assert sorted((r.id, r.lon, r.lat) for r in at.collect()) == [(1, 1e-5, 2e-5), (2, 3e-5, 4e-5)]
+
+
+def test_block_index(spark):
+    blobs = [(k, pbf.encode_blob([(100 * k + i, 0, 0) for i in range(5)], [(k, [1])])) for k in range(4)]
+    got = sorted((r.block, r.kind, r.low, r.high, r.offset) for r in pbf.block_index(blob_rows(spark, blobs)).collect())
+    before = np.cumsum([0] + [len(b) for _, b in blobs]).tolist()
+    assert got == sorted(x for k in range(4) for x in ((k, "node", 100 * k, 100 * k + 4, before[k]), (k, "way", k, k, before[k])))
+    with pytest.raises(Exception, match="overlap"):
+        pbf.block_index(blob_rows(spark, [(0, blobs[1][1]), (1, blobs[0][1])])).collect()
+
+
+def test_import_can_start_again(spark, tmp_path):
+    blob = lambda *n: bytearray(pbf.encode_blob([(i, x, x) for i, x in n]))
+    one, two = ("a", blob((1, 100), (2, 200))), ("b", blob((2, 900), (3, 300)))
+    source = lambda rows: spark.createDataFrame(rows, "source string, blob binary")
+    path = str(tmp_path / "import")
+    assert sorted((r.id, r.x) for r in pbf.import_sources(source([one]), path).collect()) == [(1, 100), (2, 200)]
+    for _ in range(2):
+        assert sorted((r.id, r.x) for r in pbf.import_sources(source([one, two]), path).collect()) == [(1, 100), (2, 200), (3, 300)]
+
+
 @pytest.mark.parametrize("damage", [lambda b: b[:-3], lambda b: b[:20] + b"\xff" + b[21:]])
 def test_pbf_damage_is_an_error(damage):
     with pytest.raises((ValueError, Exception)):
