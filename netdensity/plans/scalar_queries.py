@@ -82,7 +82,16 @@ def fn_projected_bounds(spark, d):
     return graph.projected_bounds(boxes, "id").select("id", *[_round(F.col(c), 4).alias(c) for c in ("west", "south", "east", "north")])
 
 
-@BOOK.add()
+_MARGIN = f"{geo.HALO + geo.SPACING!r}::DOUBLE"
+_WIDE = f", w AS (SELECT id, min({EAST}) - {_MARGIN} AS w0, min({NORTH}) - {_MARGIN} AS s0, max({EAST}) + {_MARGIN} AS e0, max({NORTH}) + {_MARGIN} AS n0 FROM b2 GROUP BY id), side AS (SELECT w.*, s.i / 64.0::DOUBLE AS f FROM w, (SELECT unnest(range(65)) AS i) s), "
+_WIDE += "p AS (SELECT id, w0 + f * (e0 - w0) AS x, s0 AS y FROM side UNION ALL SELECT id, w0 + f * (e0 - w0), n0 FROM side UNION ALL SELECT id, w0, s0 + f * (n0 - s0) FROM side UNION ALL SELECT id, e0, s0 + f * (n0 - s0) FROM side), "
+_WIDE += f"m AS (SELECT id, y / {geo.SCALE * RECT!r}::DOUBLE AS xi, (x - 500000.0) / {geo.SCALE * RECT!r}::DOUBLE AS eta FROM p), "
+_WIDE += "m2 AS (SELECT id, xi - " + " - ".join(f"{b!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(BETA, 1)) + " AS xi2, eta - " + " - ".join(f"{b!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(BETA, 1)) + " AS eta2 FROM m), "
+_WIDE += "m3 AS (SELECT id, -69.0::DOUBLE + degrees(atan2(sinh(eta2), cos(xi2))) AS lon, asin(sin(xi2) / cosh(eta2)) AS chi FROM m2), "
+_WIDE += "m4 AS (SELECT id, lon, degrees(chi + " + " + ".join(f"{x!r}::DOUBLE * sin({2 * j} * chi)" for j, x in enumerate(DELTA, 1)) + ") AS lat FROM m3)"
+
+
+@BOOK.add(fx.sql(_BOX + _BOX_XY + _WIDE + " SELECT id, round(min(lon), 9) AS west, round(min(lat), 9) AS south, round(max(lon), 9) AS east, round(max(lat), 9) AS north FROM m4 GROUP BY id", "place"))
 def fn_acq_bounds(spark, d):
     boxes = fx.place(spark, d).select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 0.05).alias("east"), (F.col("lat") + 0.03).alias("north"))
     return graph.acquisition_bounds(boxes, "id").select("id", *[_round(F.col(c), 9).alias(c) for c in ("west", "south", "east", "north")])
