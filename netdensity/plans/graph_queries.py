@@ -459,10 +459,11 @@ def grid_halo(spark, d):
     return sssp.within_halo(fx.node(spark, d), geo.CHUNK, geo.HALO).groupBy("cx", "cy").agg(F.count("*").alias("nodes"))
 
 
-_OWN = f"WITH RECURSIVE {POI_SNAP}, {PATHS}, near AS (SELECT q.k AS qid, q.m.d + sp.d + p.m.d AS total FROM ps q JOIN sp ON sp.node = q.m.node JOIN ps p ON p.m.node = sp.src), s AS (SELECT qid, sum(exp(-total / 120.0::DOUBLE)) AS score FROM near WHERE total <= 800 GROUP BY 1)"
+#: Every destination scored as a query: own(qid, x, y, score), null without a snap.
+OWN_SQL = f"WITH RECURSIVE {POI_SNAP}, {PATHS}, near AS (SELECT q.k AS qid, q.m.d + sp.d + p.m.d AS total FROM ps q JOIN sp ON sp.node = q.m.node JOIN ps p ON p.m.node = sp.src), s AS (SELECT qid, sum(exp(-total / 120.0::DOUBLE)) AS score FROM near WHERE total <= 800 GROUP BY 1), own AS (SELECT CAST(poi.k AS BIGINT) AS qid, poi.x, poi.y, CASE WHEN q.k IS NOT NULL THEN round(coalesce(score, 0), 6) END AS score FROM poi LEFT JOIN ps q ON q.k = poi.k LEFT JOIN s ON s.qid = poi.k)"
 
 
-@BOOK.add(fx.sql(f"{_OWN} SELECT CAST(poi.k AS BIGINT) AS qid, CASE WHEN q.k IS NOT NULL THEN round(coalesce(score, 0), 6) END AS score FROM poi LEFT JOIN ps q ON q.k = poi.k LEFT JOIN s ON s.qid = poi.k", "edge", "poi"))
+@BOOK.add(fx.sql(f"{OWN_SQL} SELECT qid, score FROM own", "edge", "poi"))
 def score_halo(spark, d):
     """Destinations scored as if they were queries, each by its own chunk and halo."""
     p = fx.poi(spark, d)
