@@ -1,15 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, found by prefix filtering and verified exactly.
-
-Two texts are linked if the sets of their shingles have a similarity of 0.8 or more; nothing is estimated. In any one
-order of all shingles, sets of that similarity share a shingle among the first n - ceil(0.8 n) + 1 of each set of n, so
-lists of the texts that have a shingle there hold every such pair. The order puts shingles of little used buckets first
-(a count over 65,536 buckets of hashes, the only thing that the driver sees), so that a passage of many texts seldom
-names a list; the order changes the work, never the result.
-
-Texts with equal sets are one entry. A pair of a list goes on if its sizes, its places in the list and then its bitmaps
-allow the similarity: the differing bits of two parity bitmaps never exceed the differing members. Lists of up to PAIRED
-entries give all such pairs. In a longer one each entry first meets the list's hub, the entry nearest to the
-majority of their bitmaps; then only pairs that the links so far leave in different components are compared by bitmaps, and each
+"""Near-duplicates by SimHash over five-word shingles, verified by Jaccard similarity, with an exact way for the rest.
+
+Two texts are linked if the sets of their shingles have a similarity of 0.8 or more. Pairs come first from fingerprints:
+each set has one of 64 bits, and the byte-position inverted index of ``simhash`` with count filtering gives pairs that share
+MATCHES of 8 bytes or more and differ in at most BITS bits. Their similarity is then taken from the sets, and what is linked makes classes.
+
+At a similarity of 0.8 about 10 of 64 bits differ, up to 18 were seen, and no index of eight bytes can guarantee matches for
+more than 7; so fingerprints find many links, but not all. The rest is looked for only between texts that they leave in different classes,
+by prefix filtering: in any one order of all shingles, sets of that similarity share a shingle among the first
+n - ceil(0.8 n) + 1 of each set of n, so lists of the texts that have a shingle there hold every such pair. The order puts
+shingles of little used buckets first (a count over 65,536 buckets of hashes, the only thing that the driver sees), so that
+a passage of many texts seldom names a list; the order changes the work, never the result.
+
+Texts with equal sets are one entry. A pair goes on to its texts if its bitmaps allow the similarity: the differing bits of
+two parity bitmaps never exceed the differing members. A pair of a prefix list also has to pass by its sizes and its places in the list.
+Lists of up to PAIRED entries give all such pairs. In a longer one pairs of different classes are compared by bitmaps at once, and each
 pair goes on from one list only, the least that both are in. Texts move only for pairs that passed.
 
 Defined results: words are parted by ASCII white space and compared without the case of A-Z; fewer than five words give
@@ -28,15 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netdensity.llm import shingles
+from netdensity.llm import shingles, simhash
 from netdensity.operators.components import components
-from netdensity.session import materialize
+from netdensity.session import materialize, release
 
+#: Bits in which fingerprints may differ, and bytes of eight that they share.
+BITS = 16
+MATCHES = 3
 PAIRED = 64
 BUCKETS = 1 << 16
 #: Texts whose hashes may be broadcast (8 bytes each); more are joined by a shuffle.
 SENT = 100_000
-PRINTS = "th long, sig long, size int, first array<long>, bits binary"
+PRINTS = "th long, sig long, fp long, size int, first array<long>, bits binary"
 LISTED = "k long, a long, b long, size int, pos int"
 PAIRS = "a long, b long"
 
@@ -56,18 +63,22 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prints(batches: Iterator[pa.RecordBatch], level: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(th, sig, size, first, bits): text hash, hash of the set, its size, the shingles that name its lists, in order, and its bitmap."""
+    """(th, sig, fp, size, first, bits): text hash, hash of the set, its fingerprint and size, the shingles that name its lists, in order, and its bitmap."""
     for b in batches:
-        sig, size, first, bits = [], [], [], []
+        sig, fp, size, first, bits = [], [], [], [], []
         for s in shingles.of_all(b.column(1).to_pylist()):
             sig.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
+            fp.append(simhash.of_hashes(s))
             size.append(len(s))
             ranked = s[np.argsort(level[(s >> np.uint64(48)).astype(np.int64)], kind="stable")]
             first.append(ranked[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
             bits.append(shingles.parity(s))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-            ["th", "sig", "size", "first", "bits"],
+            [
+                b.column(0), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)),
+                pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
+            ],
+            ["th", "sig", "fp", "size", "first", "bits"],
         )
 
 
@@ -168,22 +179,6 @@ def pairs_by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
-def hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (k, sig, size, pos, bits) sorted by k: each entry of a list with the list's hub, where they may be alike."""
-    for rows in by_list(batches):
-        sig, size, pos, bits = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(3).to_numpy(), rows.column(4).to_pylist()
-        words = matrix(bits, min(map(len, bits)))
-        ones = np.zeros(words.shape[1] * 64, np.int64)
-        for at in range(0, len(words), 4096):
-            ones += np.unpackbits(words[at : at + 4096].view(np.uint8), axis=1).sum(0, dtype=np.int64)
-        centre = np.packbits(2 * ones > len(words)).view(np.uint64)
-        hub = int(np.bitwise_count(words ^ centre).sum(1, dtype=np.int64).argmin())
-        near = close(np.bitwise_count(words ^ words[hub]).sum(1, dtype=np.int64), size, size[hub]) & possible(size, pos, np.arange(len(sig)), np.full(len(sig), hub))
-        near[hub] = False
-        if near.any():
-            yield ordered([sig[near]], [np.full(int(near.sum()), sig[hub])])
-
-
 def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (k, sig, size, pos, bits, root, ks) sorted by k: pairs of unlike roots that may be alike; ks are the long lists that an entry is in."""
     for rows in by_list(batches):
@@ -232,6 +227,21 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def by_fingerprint(entries: DataFrame) -> DataFrame:
+    """From rows (sig, fp): pairs of sets that the fingerprints' index names, the lesser first; a fingerprint's least set stands for it."""
+    heads = materialize(entries.groupBy("fp").agg(F.min("sig").alias("head")))
+    pairs = simhash.near_pairs(heads.select("fp"), BITS, MATCHES)
+    pairs = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    same = entries.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("x"), F.col("head").alias("y"))
+    return pairs.select("x", "y").union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends (sig, root) does not put in one component."""
+    joined = pairs.join(roots.select(F.col("sig").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("sig").alias("b"), F.col("root").alias("y")), "b", "left")
+    return joined.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, text="text", paired: int = PAIRED) -> DataFrame:
     """(th, root) for each distinct text: xxhash64 of the text, null as empty, and the component it is in."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -240,31 +250,35 @@ def near_duplicates(docs: DataFrame, text="text", paired: int = PAIRED) -> DataF
     for r in source.select("t").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         level[r.bucket] = int(r.n).bit_length()
     found = materialize(source.mapInArrow(partial(prints, level=level), PRINTS))
-    posts = found.groupBy("sig").agg(F.first("size").alias("size"), F.first("first").alias("first")).select("sig", "size", F.posexplode("first").alias("pos", "k"))
-    listed = materialize(posts.select("k", "sig", "size", "pos").repartition("k").sortWithinPartitions("k").mapInArrow(partial(pairs_of_lists, paired=paired), LISTED))
-    traits = found.groupBy("sig").agg(F.min("th").alias("th"), F.first("size").alias("size"), F.first("bits").alias("bits"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(traits.select("sig", "th"), "sig"))
+        pairs = materialize(pairs)
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+        traits = found.join(F.broadcast(ends) if ends.count() <= SENT else ends, "sig").groupBy("sig").agg(F.min("th").alias("th"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+        both = pairs.join(traits.select(F.col("sig").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x")), "a").join(traits.select(F.col("sig").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y")), "b")
+        passed = materialize(both.select("a", "b", "m", "n", "x", "y").mapInArrow(pairs_by_bits, PAIRS))
+        needed = materialize(passed.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(traits.select("sig", "th"), "sig"))
         hashes = F.broadcast(needed) if needed.count() <= SENT else needed
         texts = materialize(source.join(hashes, "th").groupBy("sig").agg(F.first("t").alias("t")))
-        both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("sig").alias("b"), F.col("t").alias("tb")), "b")
+        both = passed.join(texts.select(F.col("sig").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("sig").alias("b"), F.col("t").alias("tb")), "b")
         return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, PAIRS))
 
-    short = listed.where("k is null").select("a", "b").distinct()
-    short = short.join(traits.select(F.col("sig").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x")), "a").join(traits.select(F.col("sig").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y")), "b")
-    passed = materialize(short.select("a", "b", "m", "n", "x", "y").mapInArrow(pairs_by_bits, PAIRS))
+    tried = materialize(by_fingerprint(found.select("sig", "fp").distinct()))
+    links = verified(tried)
+    classes = components(links).withColumnRenamed("node", "sig")
+    release(docs.sparkSession)
+
+    posts = found.groupBy("sig").agg(F.first("size").alias("size"), F.first("first").alias("first")).select("sig", "size", F.posexplode("first").alias("pos", "k"))
+    listed = materialize(posts.select("k", "sig", "size", "pos").repartition("k").sortWithinPartitions("k").mapInArrow(partial(pairs_of_lists, paired=paired), LISTED))
+    release(docs.sparkSession)
+    rest = apart(listed.where("k is null").select("a", "b").distinct(), classes)
     long = listed.where("k is not null").select("k", F.col("a").alias("sig"), "size", "pos")
-    any_long = long.limit(1).count() > 0
-    if any_long:
-        long = long.join(traits.select("sig", "bits"), "sig").select("k", "sig", "size", "pos", "bits")
-        passed = materialize(passed.union(long.repartition("k").sortWithinPartitions("k").mapInArrow(hubs, PAIRS)).distinct())
-    links = verified(passed)
-    if any_long:
+    if long.limit(1).count() > 0:
+        traits = found.groupBy("sig").agg(F.first("bits").alias("bits"))
         ks = long.groupBy("sig").agg(F.collect_list("k").alias("ks"))  # at most a text's own first shingles
-        rows = long.join(ks, "sig").join(components(links).withColumnRenamed("node", "sig"), "sig", "left")
+        rows = long.join(traits, "sig").join(ks, "sig").join(classes, "sig", "left")
         rows = rows.select("k", "sig", "size", "pos", "bits", F.coalesce("root", "sig").alias("root"), "ks")
-        rest = rows.repartition("k").sortWithinPartitions("k").mapInArrow(pairs_across, PAIRS).distinct().join(passed, ["a", "b"], "left_anti")
-        links = links.union(verified(materialize(rest)))
+        rest = rest.union(rows.repartition("k").sortWithinPartitions("k").mapInArrow(pairs_across, PAIRS)).distinct()
+    links = links.union(verified(rest.join(tried, ["a", "b"], "left_anti")))
     roots = components(links).withColumnRenamed("node", "sig")
     return found.select("th", "sig").distinct().join(roots, "sig", "left").select("th", F.coalesce("root", "sig").alias("root"))

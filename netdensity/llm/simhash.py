@@ -13,6 +13,9 @@ pairwise in numpy; longer ones, up to HELD, meet through the values within two b
 entry (two values differ in at most four bits exactly if they share one; for fewer bits, half as many flips), in time linear in the list; a list
 beyond HELD is not held at all, and its flips are grouped by Spark. No entry is left out in any case.
 
+Similar texts differ in more bits than an index of eight bytes can guarantee, so ``near_pairs`` takes fewer matches and
+more bits: it gives pairs to check, and guarantees none beyond 8 - matches bits.
+
 Defined results: a null or blank text has fingerprint zero, which links like any other; fewer
 than four words give one shingle; null doc_ids take part but never name a component; a component
 of null ids only has a null id; repeated rows each get a row; a very long text is
@@ -27,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netdensity.operators.components import components
@@ -39,8 +42,14 @@ PAIRED = 512
 HELD = 20_000
 #: The 70 sets of four of the eight byte positions.
 SETS = list(combinations(range(8), 4))
-#: For each mask of equal bytes, the first set that it holds, or -1.
-FIRST = np.array([next((k for k, s in enumerate(SETS) if all(m >> p & 1 for p in s)), -1) for m in range(256)], np.int16)
+
+
+def first_of(sets: list[tuple[int, ...]]) -> np.ndarray:
+    """For each mask of equal bytes, the first set that it holds, or -1."""
+    return np.array([next((k for k, s in enumerate(sets) if all(m >> p & 1 for p in s)), -1) for m in range(256)], np.int16)
+
+
+FIRST = first_of(SETS)
 #: Flips of up to 0, 1 and 2 of 32 bits: two values differ in at most 0, 2 or 4 bits exactly if they share a flip.
 FLIPS = [np.array([sum(1 << i for i in c) for k in range(n + 1) for c in combinations(range(32), k)], np.uint32) for n in range(3)]
 POSTS = "k long, v long, fp long"
@@ -63,6 +72,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int((2 * ones > len(first)) @ (1 << np.arange(64, dtype=object)))
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """The 64-bit fingerprint of hashes: a bit is set if over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 65_536):
+        ones += np.unpackbits(h[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE) -> DataFrame:
     """doc_id and fp (signed) of every row."""
 
@@ -176,18 +193,23 @@ def posts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield record(pa.nulls(len(p), pa.int64()), p, q)
 
 
-def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) that connect what distinct fingerprints (column fp) within ``bits`` connect; bits is 0, 2 or 4."""
-    if bits not in (0, 2, BITS):
-        raise ValueError("the index guarantees matches for up to four differing bits, and long lists meet through flips of half as many")
+def keys(sets: list[tuple[int, ...]]) -> list[Column]:
+    """The lists of a fingerprint: for each set its number and the bytes at its positions."""
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255).cast("long")) for p in range(8)]
-    keys = []
-    for k, s in enumerate(SETS):
+    out = []
+    for k, s in enumerate(sets):
         key = F.lit(k).cast("long")
         for p in s:
             key = F.shiftleft(key, 8).bitwiseOR(byte[p])
-        keys.append(key)
-    listed = fps.select(F.explode(F.array(*keys)).alias("k"), "fp").repartition("k").sortWithinPartitions("k")
+        out.append(key)
+    return out
+
+
+def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (a, b) that connect what distinct fingerprints (column fp) within ``bits`` connect; bits is 0, 2 or 4."""
+    if bits not in (0, 2, BITS):
+        raise ValueError("the index guarantees matches for up to four differing bits, and long lists meet through flips of half as many")
+    listed = fps.select(F.explode(F.array(*keys(SETS))).alias("k"), "fp").repartition("k").sortWithinPartitions("k")
     found = materialize(listed.mapInArrow(lambda it: posts(it, bits), POSTS))
     links = found.where("k is null").select(F.col("v").alias("a"), F.col("fp").alias("b"))
     long = found.where("k is not null")
@@ -195,6 +217,43 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return links.union(long.join(least, ["k", "v"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
+def nearest_before(batches: Iterator[pa.RecordBatch], bits: int, matches: int, window: int) -> Iterator[pa.RecordBatch]:
+    """From rows (k, fp) sorted by k, fp: each entry of a list with the nearest of the ``window`` before it, within ``bits``."""
+    first = first_of(list(combinations(range(8), matches)))
+    k, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for b in batches:
+        if not len(b):
+            continue
+        old, k, fp = len(k), np.append(k, b.column(0).to_numpy()), np.append(fp, b.column(1).to_numpy().view(np.uint64))
+        least, partner, at = np.full(len(k), bits + 1, np.uint8), np.zeros(len(k), np.uint64), np.arange(old, len(k))
+        for step in range(1, window + 1):
+            at = at[at >= step]
+            at = at[k[at] == k[at - step]]
+            if not len(at):
+                break
+            x = fp[at] ^ fp[at - step]
+            n = np.bitwise_count(x)
+            ok = n < least[at]
+            ok[ok] = first[equal_mask(x[ok])] == k[at[ok]] >> 8 * matches
+            least[at[ok]], partner[at[ok]] = n[ok], fp[at[ok] - step]
+        got = np.flatnonzero(least <= bits)
+        yield pa.RecordBatch.from_arrays([pa.array(partner[got].view(np.int64)), pa.array(fp[got].view(np.int64))], ["a", "b"])
+        last = max(int(np.searchsorted(k, k[-1])), len(k) - window)
+        k, fp = k[last:], fp[last:]
+
+
+def near_pairs(fps: DataFrame, bits: int, matches: int, window: int = PAIRED) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints (column fp) that share ``matches`` bytes or more and differ in at most ``bits`` bits.
+
+    The lists are those of every set of so many positions. A pair counts only in the first list that its equal bytes name. There
+    an entry goes with its nearest partner before it, not with all, so that at most one pair an entry leaves a list; beyond ``window``
+    entries a list is not searched. Who needs every pair has to look for the rest otherwise.
+    """
+    sets = list(combinations(range(8), matches))
+    listed = fps.select(F.explode(F.array(*keys(sets))).alias("k"), "fp").repartition("k").sortWithinPartitions("k", "fp")
+    return materialize(listed.mapInArrow(lambda it: nearest_before(it, bits, matches, window), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = materialize(fingerprints(docs, doc_id, text))
