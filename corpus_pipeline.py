@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from netdensity.llm import bpe, lines, mixing, near, quality
 from netdensity.llm.common import BLANKS
 from netdensity.llm.queries import tokenizer
-from netdensity.session import checkpoint_dir, materialize, table
+from netdensity.session import checkpoint_dir, fewer, materialize, table
 
 
 def packed(docs: DataFrame, *used: str) -> DataFrame:
@@ -36,6 +36,7 @@ def unpacked(out: DataFrame, docs: DataFrame, *used: str, text: Column | None =
         new["text"] = text
         if "n_chars" in docs.columns:
             new["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    out = fewer(out, docs)
     return out.select(*[(new[c] if c in new else F.col(c) if c in used else F.col("others").getField(c)).alias(c) for c in docs.columns])
 
 
@@ -59,7 +60,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "*", F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
     )
     found = keyed.select(*key).distinct().join(near.near_duplicates(docs), "th")
-    heads = materialize(found.groupBy("root").agg(F.min(F.struct(*key)).alias("head")).select("head.*"))
+    heads = materialize(fewer(found.groupBy("root").agg(F.min(F.struct(*key)).alias("head")).select("head.*"), docs))
     return unpacked(keyed.join(heads, key, "left_semi").dropDuplicates(key), docs, "doc_id", "text")
 
 

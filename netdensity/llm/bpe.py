@@ -36,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netdensity.session import materialize
+from netdensity.llm.common import lean
+from netdensity.session import fewer, materialize
 
 LEXICON_WORDS = 50_000
 #: Bytes of text, about, that are encoded together.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Ids that are decoded together.
 BLOCK = 1 << 19
 #: Bytes up to which words are merged side by side; a longer word is merged with a queue of its own.
@@ -503,13 +504,13 @@ def frequent(docs: DataFrame, path: str, most: int = LEXICON_WORDS, text: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, None)
-        for b in batches:
+        for b in lean(batches, 0, PIECE):
             for parts in batched(p for t in b.column(0).to_pylist() for p in cut(t or "")):
                 words, which, _ = c.distinct(list(map(c.normal, parts)))
                 yield pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(np.bincount(which, minlength=len(words)))], ["word", "n"])
 
     rows = docs.select(F.col(text).alias("t")).mapInArrow(count, "word binary, n long")
-    counts = materialize(rows.where(F.length("word") <= SIDE_BY_SIDE).groupBy("word").agg(F.sum("n").alias("n")))
+    counts = materialize(fewer(rows.where(F.length("word") <= SIDE_BY_SIDE).groupBy("word").agg(F.sum("n").alias("n")), docs))
     # The least count down to which all words fit the bound; so no more than the bound's rows are ever sent.
     room, least = most, None
     for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
@@ -538,7 +539,7 @@ def encode(docs: DataFrame, path: str, blob: bytes, doc_id="doc_id", text="text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, shared.value)
-        for b in batches:
+        for b in lean(batches, 1, PIECE):
             for first, ids, ends in c.documents(b.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(ends)), id_lists(ids, ends)], ["doc_id", "ids"])
 
@@ -564,7 +565,7 @@ def roundtrip(docs: DataFrame, path: str, blob: bytes, doc_id="doc_id", text="te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, shared.value)
-        for b in batches:
+        for b in lean(batches, 1, PIECE):
             for first, ids, ends in c.documents(b.column(1).to_pylist()):
                 out = [b.column(0).slice(first, len(ends)), pa.array(np.diff(ends, prepend=0)), *map(pa.array, c.digests(ids, ends))]
                 yield pa.RecordBatch.from_arrays(out + [id_lists(ids, ends)] * with_ids, names)

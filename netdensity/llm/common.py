@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +45,19 @@ def word_count(text: Column) -> Column:
 def without(text: Column, chars: str) -> Column:
     """``text`` with every one of ``chars`` taken out."""
     return F.translate(text, chars, "")
+
+
+def lean(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """All rows in slices of about ``size`` bytes of a text column besides their first text, which may be of any length.
+
+    A batch may hold all rows of a task; what is made of a slice does not grow with it. Python workers live on between tasks, so
+    at the end freed memory goes back to the system.
+    """
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(), dtype=np.int64)
+        cut = (np.flatnonzero(np.diff(upto // size)) + 1).tolist()
+        for x, y in zip([0, *cut], [*cut, len(b)]):
+            yield b.slice(x, y - x)
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc's
+        libc.malloc_trim(0)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netdensity.llm.common import WORD, free, let
-from netdensity.session import materialize
+from netdensity.session import fewer, materialize
 
 MIN_WORDS = 5
 RUNS = "pre_at array<int>, pre array<long>, post_at array<int>, post array<long>"
@@ -143,7 +143,7 @@ def deletions(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MI
     # One row for each line of a document with its places, in order, then the earliest holder of each line: a hot line is
     # summed up in each task before the shuffle, and the join that follows can be split.
     place = F.struct("pos", "start", "next", "pre_at", "pre", "post_at", "post")
-    held = materialize(source.mapInArrow(run, LINES).groupBy("h", "d", "th").agg(F.sort_array(F.collect_set(place)).alias("mine")))
+    held = materialize(fewer(source.mapInArrow(run, LINES).groupBy("h", "d", "th").agg(F.sort_array(F.collect_set(place)).alias("mine")), docs))
     seen = F.transform("mine", lambda m: F.struct(m["pos"].alias("pos"), m["pre"].alias("pre"), m["post"].alias("post")))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +167,10 @@ def deletions(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MI
     def aligned(met: DataFrame) -> DataFrame:
         """From rows (h, d, th, o, mine, at): lines of d and the partner's lines."""
         pairs = met.groupBy("d", "th", "o").agg(F.collect_list(F.struct("h", "mine", "at")).alias("own"))
-        return materialize(pairs.select("d", "th", "own").mapInArrow(align, "d long, th long, h long, pos int, a int, z int"))
+        return materialize(fewer(pairs.select("d", "th", "own"), docs).mapInArrow(align, "d long, th long, h long, pos int, a int, z int"))
 
     first = held.groupBy("h").agg(F.min(F.struct("d", seen.alias("at"))).alias("m"), F.max("d").alias("z"))
-    holders = materialize(first.where("m.d < z").select("h", F.col("m.d").alias("o"), F.col("m.at").alias("at")))
+    holders = materialize(fewer(first.where("m.d < z").select("h", F.col("m.d").alias("o"), F.col("m.at").alias("at")), docs))
     later = held.join(holders, "h").where("d > o")
     gone = aligned(later.select("h", "d", "th", "o", "mine", "at"))
     found = gone
@@ -181,7 +181,7 @@ def deletions(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MI
     while True:
         went = found.groupBy("h", "d", "th").agg(F.collect_set("pos").alias("went"))
         left = left.join(went, ["h", "d", "th"], "left").withColumn("mine", F.when(F.col("went").isNull(), F.col("mine")).otherwise(F.filter("mine", lambda m: ~F.array_contains("went", m["pos"]))))
-        left = materialize(left.where("size(mine) > 0").drop("went"))
+        left = materialize(fewer(left.where("size(mine) > 0").drop("went"), docs))
         if not left.limit(1).count():
             break
         if ranked is None:
@@ -189,13 +189,13 @@ def deletions(docs: DataFrame, doc_id="doc_id", text="text", min_words: int = MI
             near = held.join(left.select("h").distinct(), "h", "left_semi").groupBy("h", "d").agg(F.max_by(F.col("mine"), F.size("mine")).alias("mine"))
             order = Window.partitionBy("h").orderBy("d")
             counted = near.select("h", "d", F.size("mine").alias("n")).withColumn("nth", F.row_number().over(order)).withColumn("upto", F.sum("n").over(order))
-            ranked = materialize(near.join(counted, ["h", "d"]).select("h", F.col("d").alias("o"), "nth", "upto", "n", seen.alias("at")))
+            ranked = materialize(fewer(near.join(counted, ["h", "d"]).select("h", F.col("d").alias("o"), "nth", "upto", "n", seen.alias("at")), docs))
         base = left.join(ranked.select("h", F.col("nth").alias("used"), F.col("upto").alias("base")), ["h", "used"])
         # Each place left over meets the holder's place of its number: one row for one row.
         wanted = base.select("h", "d", "th", "base", F.posexplode("mine").alias("i", "m")).withColumn("p", F.col("base") + F.col("i"))
         slots = ranked.select("h", "o", "nth", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("p"))
         hit = wanted.join(slots, ["h", "p"]).where("o < d").groupBy("h", "d", "th", "o", "nth").agg(F.sort_array(F.collect_list("m")).alias("mine"))
-        met = materialize(hit.join(ranked.select("h", "o", "at"), ["h", "o"]).select("h", "d", "th", "o", "nth", "mine", "at"))
+        met = materialize(fewer(hit.join(ranked.select("h", "o", "at"), ["h", "o"]).select("h", "d", "th", "o", "nth", "mine", "at"), docs))
         if not met.limit(1).count():
             break
         found = aligned(met.select("h", "d", "th", "o", "mine", "at"))

@@ -23,7 +23,7 @@ repeated rows are one entry; an empty table gives no rows; other columns, whatev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -33,14 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netdensity.llm import shingles, simhash
+from netdensity.llm.common import lean
 from netdensity.operators.components import components
-from netdensity.session import materialize, release
+from netdensity.session import fewer, materialize, release
 
 #: Bits in which fingerprints may differ, and bytes of eight that they share.
 BITS = 16
 MATCHES = 3
 PAIRED = 64
 BUCKETS = 1 << 16
+#: Bytes of one side's bitmaps or texts, about, whose pairs are compared together.
+SLICE = 2 << 20
 #: Texts whose hashes may be broadcast (8 bytes each); more are joined by a shuffle.
 SENT = 100_000
 PRINTS = "th long, sig long, fp long, size int, first array<long>, bits binary"
@@ -55,7 +58,7 @@ def alike(common, m, n):
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(BUCKETS, np.int64)
-    for b in batches:
+    for b in lean(batches, 0, shingles.PIECE):
         for s in shingles.of_all(b.column(0).to_pylist()):
             n += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS) if len(s) else 0
     at = np.flatnonzero(n)
@@ -64,7 +67,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prints(batches: Iterator[pa.RecordBatch], level: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(th, sig, fp, size, first, bits): text hash, hash of the set, its fingerprint and size, the shingles that name its lists, in order, and its bitmap."""
-    for b in batches:
+    for b in lean(batches, 1, shingles.PIECE):
         sig, fp, size, first, bits = [], [], [], [], []
         for s in shingles.of_all(b.column(1).to_pylist()):
             sig.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
@@ -168,7 +171,7 @@ def close(differing: np.ndarray, m, n) -> np.ndarray:
 
 def pairs_by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (a, b, m, n, x, y) with sizes and bitmaps: the pairs that these allow."""
-    for b in batches:
+    for b in lean(batches, 4, SLICE):
         m, n = b.column(2).to_numpy(), b.column(3).to_numpy()
         x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
         length, keep = np.array([min(len(p), len(q)) for p, q in zip(x, y)], np.int64), np.zeros(len(b), bool)
@@ -217,7 +220,7 @@ def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (a, b, ta, tb): the pairs that are alike."""
-    for b in batches:
+    for b in lean(batches, 2, SLICE):
         text = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist())) | dict(zip(b.column(1).to_pylist(), b.column(3).to_pylist()))
         members = dict(zip(text, shingles.of_all(list(text.values()))))
         ok = []
@@ -227,9 +230,9 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def by_fingerprint(entries: DataFrame) -> DataFrame:
+def by_fingerprint(entries: DataFrame, dealt: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """From rows (sig, fp): pairs of sets that the fingerprints' index names, the lesser first; a fingerprint's least set stands for it."""
-    heads = materialize(entries.groupBy("fp").agg(F.min("sig").alias("head")))
+    heads = materialize(dealt(entries.groupBy("fp").agg(F.min("sig").alias("head"))))
     pairs = simhash.near_pairs(heads.select("fp"), BITS, MATCHES)
     pairs = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     same = entries.join(heads, "fp").where("sig <> head").select(F.col("sig").alias("x"), F.col("head").alias("y"))
@@ -246,30 +249,30 @@ def near_duplicates(docs: DataFrame, text="text", paired: int = PAIRED) -> DataF
     """(th, root) for each distinct text: xxhash64 of the text, null as empty, and the component it is in."""
     t = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.xxhash64(t).alias("th"), t.alias("t"))
+    dealt = partial(fewer, source=docs)
     level = np.zeros(BUCKETS, np.int8)
     for r in source.select("t").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         level[r.bucket] = int(r.n).bit_length()
-    found = materialize(source.mapInArrow(partial(prints, level=level), PRINTS))
+    found = materialize(dealt(source).mapInArrow(partial(prints, level=level), PRINTS))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs)
-        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         traits = found.join(F.broadcast(ends) if ends.count() <= SENT else ends, "sig").groupBy("sig").agg(F.min("th").alias("th"), F.first("size").alias("size"), F.first("bits").alias("bits"))
         both = pairs.join(traits.select(F.col("sig").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x")), "a").join(traits.select(F.col("sig").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y")), "b")
-        passed = materialize(both.select("a", "b", "m", "n", "x", "y").mapInArrow(pairs_by_bits, PAIRS))
-        needed = materialize(passed.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(traits.select("sig", "th"), "sig"))
+        passed = materialize(dealt(both.select("a", "b", "m", "n", "x", "y")).mapInArrow(pairs_by_bits, PAIRS))
+        needed = materialize(dealt(passed.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(traits.select("sig", "th"), "sig")))
         hashes = F.broadcast(needed) if needed.count() <= SENT else needed
-        texts = materialize(source.join(hashes, "th").groupBy("sig").agg(F.first("t").alias("t")))
+        texts = materialize(dealt(source.join(hashes, "th").groupBy("sig").agg(F.first("t").alias("t"))))
         both = passed.join(texts.select(F.col("sig").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("sig").alias("b"), F.col("t").alias("tb")), "b")
-        return materialize(both.select("a", "b", "ta", "tb").mapInArrow(compare, PAIRS))
+        return materialize(dealt(both.select("a", "b", "ta", "tb")).mapInArrow(compare, PAIRS))
 
-    tried = materialize(by_fingerprint(found.select("sig", "fp").distinct()))
+    tried = materialize(dealt(by_fingerprint(found.select("sig", "fp").distinct(), dealt)))
     links = verified(tried)
-    classes = components(links).withColumnRenamed("node", "sig")
+    classes = components(links, dealt=dealt).withColumnRenamed("node", "sig")
     release(docs.sparkSession)
 
     posts = found.groupBy("sig").agg(F.first("size").alias("size"), F.first("first").alias("first")).select("sig", "size", F.posexplode("first").alias("pos", "k"))
-    listed = materialize(posts.select("k", "sig", "size", "pos").repartition("k").sortWithinPartitions("k").mapInArrow(partial(pairs_of_lists, paired=paired), LISTED))
+    listed = materialize(dealt(posts.select("k", "sig", "size", "pos").repartition("k").sortWithinPartitions("k")).mapInArrow(partial(pairs_of_lists, paired=paired), LISTED))
     release(docs.sparkSession)
     rest = apart(listed.where("k is null").select("a", "b").distinct(), classes)
     long = listed.where("k is not null").select("k", F.col("a").alias("sig"), "size", "pos")
@@ -279,6 +282,6 @@ def near_duplicates(docs: DataFrame, text="text", paired: int = PAIRED) -> DataF
         rows = long.join(traits, "sig").join(ks, "sig").join(classes, "sig", "left")
         rows = rows.select("k", "sig", "size", "pos", "bits", F.coalesce("root", "sig").alias("root"), "ks")
         rest = rest.union(rows.repartition("k").sortWithinPartitions("k").mapInArrow(pairs_across, PAIRS)).distinct()
-    links = links.union(verified(rest.join(tried, ["a", "b"], "left_anti")))
-    roots = components(links).withColumnRenamed("node", "sig")
+    links = links.union(verified(materialize(dealt(rest.join(tried, ["a", "b"], "left_anti")))))
+    roots = components(links, dealt=dealt).withColumnRenamed("node", "sig")
     return found.select("th", "sig").distinct().join(roots, "sig", "left").select("th", F.coalesce("root", "sig").alias("root"))

@@ -16,7 +16,7 @@ import xxhash
 
 SHINGLE = 5
 #: Bytes of text, about, that are hashed together.
-PIECE = 2 << 20
+PIECE = 1 << 19
 #: Bytes beyond which a word's hash is taken by itself.
 LONG_WORD = 4096
 U = np.uint64

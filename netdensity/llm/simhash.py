@@ -251,7 +251,7 @@ def near_pairs(fps: DataFrame, bits: int, matches: int, window: int = PAIRED) ->
     """
     sets = list(combinations(range(8), matches))
     listed = fps.select(F.explode(F.array(*keys(sets))).alias("k"), "fp").repartition("k").sortWithinPartitions("k", "fp")
-    return materialize(listed.mapInArrow(lambda it: nearest_before(it, bits, matches, window), "a long, b long"))
+    return listed.mapInArrow(lambda it: nearest_before(it, bits, matches, window), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", bits: int = BITS) -> DataFrame:

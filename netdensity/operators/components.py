@@ -8,22 +8,24 @@ longest chain. Links never reach the driver: it sees one count a round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netdensity.session import materialize
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", dealt: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(node, root) for every node with a link to another, root being the least node that it reaches.
 
-    Self links and null ends are dropped; a node without links has no row.
+    Self links and null ends are dropped; a node without links has no row. ``dealt`` is applied to each round's links before they are kept.
     """
     edges = (
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u is not null and v is not null and u <> v").distinct()
     )
-    edges = materialize(edges)
+    edges = materialize(dealt(edges))
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -33,7 +35,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, large.u == low.k)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        after = materialize(small)
+        after = materialize(dealt(small))
         # Stable when every node has one link and no root has one.
         same = after.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0 and edges.join(after, ["u", "v"], "left_anti").limit(1).count() == 0
         edges = after

@@ -7,6 +7,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions that ``fewer`` leaves to each core, and the bytes of source beyond which it leaves more.
+WAVES = 6
+SHARE = 32 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the dataset folder; a single Parquet file or a folder of part files."""
@@ -33,6 +37,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def fewer(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, if it has more than WAVES for each core and one for each SHARE bytes of the ``source`` that it is made from.
+
+    No row moves. On a file system without native Hadoop each file written costs two processes of the executor (chmod, also of its
+    checksum), and each partition of a Python step a run of a worker; many small partitions make thousands of them.
+    """
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(min(max(WAVES * df.sparkSession.sparkContext.defaultParallelism, size // SHARE), 1 << 20))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
